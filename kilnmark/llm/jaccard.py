@@ -15,9 +15,9 @@ How the plan scales:
   holds only such tokens are done, and overlaps of the others are exact on the shared tokens alone.
 * Within the bucket of a prefix token, pairs are compared in blocks of bounded size by bit-parity sketches: the
   number of differing bits never exceeds the symmetric difference, so a pair that differs in too many can't link.
-  What a block emits is a spanning forest over the classes' present components, not its pairs. Emitted pairs are
-  verified exactly, links merge components, pairs that fail are remembered, and this repeats until no block has a
-  candidate between two components that was not verified: components are those of all links.
+  What a block emits at first is a spanning forest over the classes, not its pairs; these are verified exactly and
+  links merge components. Then only pairs between different components are left, and of those the ones whose
+  sketches can't tell are verified, until none is left: components are those of all links.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from ._text import U, mix
 from .components import components
 
 #: Fixed parameters: buckets of the count table, bits of a parity sketch, members of a block.
-LOG_BUCKETS, SKETCH_BITS, BLOCK = 16, 1024, 1024
+LOG_BUCKETS, SKETCH_BITS, BLOCK = 16, 4096, 1024
 SLOTS = 16
 _ORDERS = 3
 
@@ -227,9 +227,10 @@ def _classes(t: Fraction, counts: np.ndarray):
     return run
 
 
-def _forest(t: Fraction, rounds: int):
-    """For the buckets (token, block pair) of one group: candidate pairs that join present components, as forests."""
-    most = 1 << min(3 * rounds, 15)
+def _forest(t: Fraction, first: bool):
+    """For the buckets (token, block pair) of one group: candidate pairs that join present components.
+
+    In the first round a spanning forest of each block; then what the sketches can't tell and was not verified yet."""
 
     def run(table: pa.Table) -> pa.Table:
         token, blk = table.column("token").to_numpy(), table.column("pair").to_numpy()
@@ -241,7 +242,6 @@ def _forest(t: Fraction, rounds: int):
         starts = np.append(np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (blk[1:] != blk[:-1])))), len(token))
         ra: list[int] = []
         rb: list[int] = []
-        known: set[tuple[int, int]] = set()
         for x, y in zip(starts[:-1], starts[1:], strict=True):
             at = order[x:y]
             c = comp[at]
@@ -264,38 +264,35 @@ def _forest(t: Fraction, rounds: int):
                 continue
             low, high, diff = np.concatenate(lows), np.concatenate(highs), np.concatenate(diffs)
             rank = np.argsort(diff, kind="stable")
-            pairs = list(zip(low[rank].tolist(), high[rank].tolist(), strict=True))
-            bad = {i: set(f) for i in range(len(at)) if (f := failed[at[i]])}
-            for _ in range(most):
-                root = {k: k for k in c.tolist()}
-
-                def find(k, root=root):
-                    while root[k] != k:
-                        root[k] = root[root[k]]
-                        k = root[k]
-                    return k
-
-                left, parts = [], len(root)
-                for k, (i, j) in enumerate(pairs):
-                    a, z = find(int(c[i])), find(int(c[j]))
-                    if a == z:
-                        left.append((i, j))
-                    elif int(cls[at[j]]) in bad.get(i, ()) or int(cls[at[i]]) in bad.get(j, ()):
-                        continue
-                    else:
-                        root[a] = z
-                        e = (int(cls[at[i]]), int(cls[at[j]]))
-                        if e not in known:
-                            known.add(e)
-                            ra.append(e[0])
-                            rb.append(e[1])
-                        parts -= 1
-                        if parts == 1:
-                            left += pairs[k + 1 :]
-                            break
-                if len(left) == len(pairs) or not left:
-                    break
-                pairs = left
+            low, high = low[rank], high[rank]
+            if not first:
+                bad = {i: np.array(f) for i in range(len(at)) if (f := failed[at[i]])}
+                one, two = cls[at[low]], cls[at[high]]
+                fresh = np.ones(len(low), bool)
+                for i, f in bad.items():
+                    fresh[(low == i) & np.isin(two, f)] = False
+                    fresh[(high == i) & np.isin(one, f)] = False
+                ra += one[fresh].tolist()
+                rb += two[fresh].tolist()
+                continue
+            root = {k: k for k in c.tolist()}
+
+            def find(k, root=root):
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            parts = len(root)
+            for i, j in zip(low.tolist(), high.tolist(), strict=True):
+                a, z = find(int(c[i])), find(int(c[j]))
+                if a != z:
+                    root[a] = z
+                    ra.append(int(cls[at[i]]))
+                    rb.append(int(cls[at[j]]))
+                    parts -= 1
+                    if parts == 1:
+                        break
         return pa.table({"a": pa.array(ra, pa.int64()), "b": pa.array(rb, pa.int64())})
 
     return run
@@ -314,7 +311,7 @@ def _candidates(cand: DataFrame, state: DataFrame, failed: DataFrame | None, t:
     else:
         rows = rows.withColumn("failed", F.lit(None).cast("array<bigint>"))
     rows = rows.withColumn("lane", F.pmod(F.xxhash64("token", "pair"), F.lit(groups))).select("lane", "token", "pair", "class", "component", "n", "sketch", "failed")
-    return rows.groupBy("lane").applyInArrow(_forest(t, rounds), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.groupBy("lane").applyInArrow(_forest(t, rounds == 0), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verify(pairs: DataFrame, cand: DataFrame, t: Fraction) -> DataFrame:
