@@ -9,6 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from ._shared import documents
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edited_fingerprints
+
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed_documents
+
+    return packed_documents(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfile import round_trip
+
+    return round_trip(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
@@ -16,7 +40,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op5_ngram_jaccard": op5_ngram_jaccard}
+    return {f.__name__: f for f in (op1_fingerprints, op2_best_fit_packing, op3_token_files, op5_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
