@@ -33,14 +33,26 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
     return jaccard_components(documents(spark, sf_dir), 3, Fraction(9, 10))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_best_fit_packing, op3_token_files, op5_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_best_fit_packing, op3_token_files, op4_benchmark_decontamination, op5_ngram_jaccard, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
