@@ -100,13 +100,14 @@ def _bucket_counts(scan: DataFrame, spark) -> np.ndarray:
 def _deal(width: int, ranges: int, blocks: int, common: np.ndarray):
     """Tokens of each distinct class of a task: by hash range, or, if common, at once by the class's block.
 
-    Rows: key (range, or -1 - block), cls, n (of a class's header), tokens and classes as uint64 arrays."""
+    Rows: key (range, or -1 - block), tokens, classes, and for a range the places of each token's class in classes,
+    for a block the set size of each header (else 0)."""
 
-    def rows_of(key, toks, cls, n, cuts):
+    def rows_of(key, toks, classes, each, cuts):
         out = []
         for r in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[r], cuts[r + 1]
-            out.append((int(key(r)), toks[a:b].tobytes(), cls[a:b].tobytes(), n[a:b].tobytes() if n is not None else None))
+            out.append((int(key(r)), toks[a:b].tobytes(), classes(a, b), each[a:b].tobytes()))
         return out
 
     def run(batches):
@@ -129,18 +130,20 @@ def _deal(width: int, ranges: int, blocks: int, common: np.ndarray):
                 cls = np.repeat(own, sizes)
                 hot = common[(toks >> U(64 - LOG_BUCKETS)).astype(np.int64)]
                 out = []
-                rest, rest_cls = toks[~hot], cls[~hot]
+                rest, rest_cls = toks[~hot], np.repeat(np.arange(len(own), dtype="<u2" if len(own) < 1 << 16 else "<u4"), sizes)[~hot]
                 order = np.argsort(rest, kind="stable")
                 rest, rest_cls = rest[order], rest_cls[order]
+                names = own.tobytes()
                 place = ((rest >> U(32)) * U(ranges)) >> U(32)
-                out += rows_of(lambda r: r, rest, rest_cls, None, np.searchsorted(place, np.arange(ranges + 1, dtype=U)))
+                out += rows_of(lambda r: r, rest, lambda a, b: names, rest_cls, np.searchsorted(place, np.arange(ranges + 1, dtype=U)))
                 # the headers (token 0 with n) and the common tokens, by class
                 to = np.concatenate((np.zeros(len(own), U), toks[hot]))
                 tc = np.concatenate((own, cls[hot]))
-                tn = np.concatenate((sizes, np.zeros(int(hot.sum()), np.int64)))
+                tn = np.concatenate((sizes, np.zeros(int(hot.sum()), np.int64))).astype("<i4")
                 block = (tc % U(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
-                out += rows_of(lambda r: -1 - r, to[order], tc[order], tn[order], np.searchsorted(block[order], np.arange(blocks + 1)))
+                to, tc, tn = to[order], tc[order], tn[order]
+                out += rows_of(lambda r: -1 - r, to, lambda a, b, tc=tc: tc[a:b].tobytes(), tn, np.searchsorted(block[order], np.arange(blocks + 1)))
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["key", "tokens", "classes", "ns"])
 
@@ -157,10 +160,14 @@ def _shared(blocks: int):
 
     def run(table: pa.Table) -> pa.Table:
         key = table.column("key")[0].as_py()
-        toks, cls = _cat(table.column("tokens"), U), _cat(table.column("classes"), U)
+        toks = _cat(table.column("tokens"), U)
         if key < 0:
-            ns = _cat(table.column("ns"), np.int64)
+            cls, ns = _cat(table.column("classes"), U), _cat(table.column("ns"), "<i4")
             return pa.table({"block": pa.array([-1 - key], pa.int64()), "tokens": pa.array([toks.tobytes()], pa.binary()), "classes": pa.array([cls.tobytes()], pa.binary()), "ns": pa.array([ns.tobytes()], pa.binary())})
+        parts = []
+        for t, names, at in zip(*(table.column(c).to_pylist() for c in ("tokens", "classes", "ns")), strict=True):
+            parts.append(np.frombuffer(names, U)[np.frombuffer(at, "<u2" if len(at) * 4 == len(t) else "<u4")])
+        cls = np.concatenate(parts)
         order = np.lexsort((cls, toks))
         toks, cls = toks[order], cls[order]
         keep = np.ones(len(toks), bool)
@@ -170,7 +177,7 @@ def _shared(blocks: int):
         df = np.diff(np.append(starts, len(toks)))
         each = np.repeat(df, df)
         keep = each > 1
-        toks, cls, each = toks[keep], cls[keep], -each[keep]
+        toks, cls, each = toks[keep], cls[keep], -each[keep].astype("<i4")
         block = (cls % U(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         toks, cls, each, block = toks[order], cls[order], each[order], block[order]
@@ -205,7 +212,7 @@ def _classes(t: Fraction, counts: np.ndarray):
     """Classes that may link: size, shared tokens, prefixes under each order, parity sketch."""
 
     def run(table: pa.Table) -> pa.Table:
-        toks, cls, ns = _cat(table.column("tokens"), U), _cat(table.column("classes"), U), _cat(table.column("ns"), np.int64)
+        toks, cls, ns = _cat(table.column("tokens"), U), _cat(table.column("classes"), U), _cat(table.column("ns"), "<i4").astype(np.int64)
         order = np.lexsort((toks, cls))
         toks, cls, ns = toks[order], cls[order], ns[order]
         keep = np.ones(len(toks), bool)
@@ -235,8 +242,10 @@ def _forest(t: Fraction, first: bool):
     def run(table: pa.Table) -> pa.Table:
         token, blk = table.column("token").to_numpy(), table.column("pair").to_numpy()
         cls, comp, n = (table.column(c).to_numpy() for c in ("class", "component", "n"))
+        part, cross = table.column("own").to_numpy(), table.column("cross").to_numpy()
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U).reshape(len(cls), -1)
         failed = table.column("failed").to_pylist()
+        heads = None if first else [set(h) for h in table.column("prefix0").to_pylist()]
         order = np.lexsort((cls, blk, token))
         token, blk = token[order], blk[order]
         starts = np.append(np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (blk[1:] != blk[:-1])))), len(token))
@@ -255,6 +264,8 @@ def _forest(t: Fraction, first: bool):
                 # |A ^ B| <= (1 - t) / (1 + t) * (|A| + |B|), and sizes within t of each other
                 ok = (diff * (t.denominator + t.numerator) <= (t.denominator - t.numerator) * both) & (c[i + 1 :] != c[i])
                 ok &= np.minimum(size[i], size[i + 1 :]) * t.denominator >= t.numerator * np.maximum(size[i], size[i + 1 :])
+                if cross[at[i]]:  # pairs of one block have their own group
+                    ok &= part[at[i + 1 :]] != part[at[i]]
                 j = np.flatnonzero(ok)
                 if len(j):
                     lows.append(np.full(len(j), i))
@@ -272,8 +283,11 @@ def _forest(t: Fraction, first: bool):
                 for i, f in bad.items():
                     fresh[(low == i) & np.isin(two, f)] = False
                     fresh[(high == i) & np.isin(one, f)] = False
-                ra += one[fresh].tolist()
-                rb += two[fresh].tolist()
+                own = int(token[x])
+                for i, j in zip(low[fresh].tolist(), high[fresh].tolist(), strict=True):  # in one bucket only
+                    if min(heads[at[i]] & heads[at[j]]) == own:
+                        ra.append(int(cls[at[i]]))
+                        rb.append(int(cls[at[j]]))
                 continue
             root = {k: k for k in c.tolist()}
 
@@ -299,7 +313,8 @@ def _forest(t: Fraction, first: bool):
 
 
 def _candidates(cand: DataFrame, state: DataFrame, failed: DataFrame | None, t: Fraction, rounds: int, groups: int) -> DataFrame:
-    rows = cand.select("class", "n", "sketch", F.explode("prefix0").alias("token")).join(state, "class")
+    held = [] if rounds == 0 else ["prefix0"]
+    rows = cand.select("class", "n", "sketch", *held, F.explode("prefix0").alias("token")).join(state, "class")
     sizes = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     sizes = sizes.filter("lo <> hi").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(sizes, "token")
@@ -310,7 +325,7 @@ def _candidates(cand: DataFrame, state: DataFrame, failed: DataFrame | None, t:
         rows = rows.join(failed, "class", "left")
     else:
         rows = rows.withColumn("failed", F.lit(None).cast("array<bigint>"))
-    rows = rows.withColumn("lane", F.pmod(F.xxhash64("token", "pair"), F.lit(groups))).select("lane", "token", "pair", "class", "component", "n", "sketch", "failed")
+    rows = rows.withColumn("lane", F.pmod(F.xxhash64("token", "pair"), F.lit(groups))).select("lane", "token", "pair", "class", "component", "n", "sketch", "failed", "own", (F.floor(F.col("pair") / F.col("blocks")) != F.col("pair") % F.col("blocks")).alias("cross"), *held)
     return rows.groupBy("lane").applyInArrow(_forest(t, rounds == 0), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
