@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._links import linked
 from ._shared import Scratch
 from ._text import U, mix
-from .components import components
 
-#: Fixed parameters: buckets of the count table, bits of a parity sketch, members of a block.
-LOG_BUCKETS, SKETCH_BITS, BLOCK = 16, 4096, 1024
+#: Fixed parameters: buckets of the count table, bits of a parity sketch.
+LOG_BUCKETS, SKETCH_BITS = 16, 4096
 SLOTS = 16
 _ORDERS = 3
 
@@ -234,101 +234,17 @@ def _classes(t: Fraction, counts: np.ndarray):
     return run
 
 
-def _forest(t: Fraction, first: bool):
-    """For the buckets (token, block pair) of one group: candidate pairs that join present components.
+def _may_link(t: Fraction):
+    """|A ^ B| <= (1 - t) / (1 + t) * (|A| + |B|), of which a parity sketch shows a part; and sizes within t."""
 
-    In the first round a spanning forest of each block; then what the sketches can't tell and was not verified yet."""
-
-    def run(table: pa.Table) -> pa.Table:
-        token, blk = table.column("token").to_numpy(), table.column("pair").to_numpy()
-        cls, comp, n = (table.column(c).to_numpy() for c in ("class", "component", "n"))
-        part, cross = table.column("own").to_numpy(), table.column("cross").to_numpy()
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U).reshape(len(cls), -1)
-        failed = table.column("failed").to_pylist()
-        heads = None if first else [set(h) for h in table.column("prefix0").to_pylist()]
-        order = np.lexsort((cls, blk, token))
-        token, blk = token[order], blk[order]
-        starts = np.append(np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (blk[1:] != blk[:-1])))), len(token))
-        ra: list[int] = []
-        rb: list[int] = []
-        for x, y in zip(starts[:-1], starts[1:], strict=True):
-            at = order[x:y]
-            c = comp[at]
-            if y - x < 2 or (c == c[0]).all():
-                continue
-            size, b = n[at], bits[at]
-            lows, highs, diffs = [], [], []
-            for i in range(len(at) - 1):
-                both = size[i] + size[i + 1 :]
-                diff = np.bitwise_count(b[i + 1 :] ^ b[i]).sum(axis=1, dtype=np.int64)
-                # |A ^ B| <= (1 - t) / (1 + t) * (|A| + |B|), and sizes within t of each other
-                ok = (diff * (t.denominator + t.numerator) <= (t.denominator - t.numerator) * both) & (c[i + 1 :] != c[i])
-                ok &= np.minimum(size[i], size[i + 1 :]) * t.denominator >= t.numerator * np.maximum(size[i], size[i + 1 :])
-                if cross[at[i]]:  # pairs of one block have their own group
-                    ok &= part[at[i + 1 :]] != part[at[i]]
-                j = np.flatnonzero(ok)
-                if len(j):
-                    lows.append(np.full(len(j), i))
-                    highs.append(j + i + 1)
-                    diffs.append(diff[j])
-            if not lows:
-                continue
-            low, high, diff = np.concatenate(lows), np.concatenate(highs), np.concatenate(diffs)
-            rank = np.argsort(diff, kind="stable")
-            low, high = low[rank], high[rank]
-            if not first:
-                bad = {i: np.array(f) for i in range(len(at)) if (f := failed[at[i]])}
-                one, two = cls[at[low]], cls[at[high]]
-                fresh = np.ones(len(low), bool)
-                for i, f in bad.items():
-                    fresh[(low == i) & np.isin(two, f)] = False
-                    fresh[(high == i) & np.isin(one, f)] = False
-                own = int(token[x])
-                for i, j in zip(low[fresh].tolist(), high[fresh].tolist(), strict=True):  # in one bucket only
-                    if min(heads[at[i]] & heads[at[j]]) == own:
-                        ra.append(int(cls[at[i]]))
-                        rb.append(int(cls[at[j]]))
-                continue
-            root = {k: k for k in c.tolist()}
-
-            def find(k, root=root):
-                while root[k] != k:
-                    root[k] = root[root[k]]
-                    k = root[k]
-                return k
-
-            parts = len(root)
-            for i, j in zip(low.tolist(), high.tolist(), strict=True):
-                a, z = find(int(c[i])), find(int(c[j]))
-                if a != z:
-                    root[a] = z
-                    ra.append(int(cls[at[i]]))
-                    rb.append(int(cls[at[j]]))
-                    parts -= 1
-                    if parts == 1:
-                        break
-        return pa.table({"a": pa.array(ra, pa.int64()), "b": pa.array(rb, pa.int64())})
+    def run(bits, others, n, ns, kind, kinds):
+        diff = np.bitwise_count(others ^ bits).sum(axis=1, dtype=np.int64)
+        ok = diff * (t.denominator + t.numerator) <= (t.denominator - t.numerator) * (n + ns)
+        return ok & (np.minimum(n, ns) * t.denominator >= t.numerator * np.maximum(n, ns)), diff
 
     return run
 
 
-def _candidates(cand: DataFrame, state: DataFrame, failed: DataFrame | None, t: Fraction, rounds: int, groups: int) -> DataFrame:
-    held = [] if rounds == 0 else ["prefix0"]
-    rows = cand.select("class", "n", "sketch", *held, F.explode("prefix0").alias("token")).join(state, "class")
-    sizes = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    sizes = sizes.filter("lo <> hi").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "token")
-    own = F.expr("cast(pmod(xxhash64(class), blocks) as int)")
-    ij = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("own")) * F.col("blocks") + F.greatest(j, F.col("own")))
-    rows = rows.withColumn("own", own).withColumn("pair", F.explode(ij))
-    if failed is not None:
-        rows = rows.join(failed, "class", "left")
-    else:
-        rows = rows.withColumn("failed", F.lit(None).cast("array<bigint>"))
-    rows = rows.withColumn("lane", F.pmod(F.xxhash64("token", "pair"), F.lit(groups))).select("lane", "token", "pair", "class", "component", "n", "sketch", "failed", "own", (F.floor(F.col("pair") / F.col("blocks")) != F.col("pair") % F.col("blocks")).alias("cross"), *held)
-    return rows.groupBy("lane").applyInArrow(_forest(t, rounds == 0), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def _verify(pairs: DataFrame, cand: DataFrame, t: Fraction) -> DataFrame:
     """Each pair with ``shares`` (a prefix token in common under every order) and ``link`` (exact)."""
     side = lambda s: cand.select(F.col("class").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("n", "tokens", *(f"prefix{i}" for i in range(_ORDERS)))))
@@ -362,32 +278,9 @@ def jaccard_classes(docs: DataFrame, width: int = 5, threshold: Fraction = Fract
     returned = dealt.groupBy("key").applyInArrow(_shared(wide), "block long, tokens binary, classes binary, ns binary")
     schema = "class long, n long, tokens array<long>, " + ", ".join(f"prefix{i} array<long>" for i in range(_ORDERS)) + ", sketch binary"
     cand = scratch.cut(returned.groupBy("block").applyInArrow(_classes(t, counts), schema), "classes")
-    state = cand.select("class", F.col("class").alias("component"))
-    links = failed = None
-    rounds = 0
-    while True:
-        pairs = _candidates(cand, state, failed, t, rounds, wide)
-        tested = scratch.cut(_verify(pairs, cand, t), "tested")
-        got = tested.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("link").cast("int")), F.lit(0)).alias("k")).first()
-        if not got["n"]:
-            break
-        new = tested.filter("link").select("a", "b")
-        links = new if links is None else scratch.cut(links.unionByName(new), "links")
-        if got["k"]:
-            of = lambda c: state.select(F.col("class").alias(c), F.col("component").alias(f"{c}_of"))
-            joined = new.join(of("a"), "a").join(of("b"), "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b"))
-            found = components(joined, scratch).select(F.col("id").alias("component"), F.col("component").alias("to"))
-            state = scratch.cut(state.join(found, "component", "left").select("class", F.coalesce("to", "component").alias("component")), "state")
-        if got["k"] < got["n"]:
-            lost = tested.filter("not link")
-            both = lost.select(F.col("a").alias("class"), F.col("b").alias("o")).unionByName(lost.select(F.col("b").alias("class"), F.col("a").alias("o")))
-            if failed is not None:
-                both = both.unionByName(failed.select("class", F.explode("failed").alias("o")))
-            failed = scratch.cut(both.groupBy("class").agg(F.collect_set("o").alias("failed")), "failed")
-        rounds += 1
+    entries = cand.select("class", "n", F.lit(0).alias("kind"), "sketch", F.col("prefix0").alias("tokens"), F.explode("prefix0").alias("token"))
+    state, links = linked(entries, _may_link(t), lambda pairs: _verify(pairs, cand, t), scratch, wide)
     members = members.join(state, "class", "left").select("doc_id", "class", "n", F.when(F.col("n") > 0, F.coalesce("component", "class")).alias("component"))
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long")
     return members, links
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._shared import documents
 
@@ -45,6 +46,14 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), 3, Fraction(9, 10))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines removed, and length and hash of the text that is left."""
+    from .linededup import dedup_lines
+
+    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_removed", F.char_length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
@@ -52,7 +61,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_best_fit_packing, op3_token_files, op4_benchmark_decontamination, op5_ngram_jaccard, op9_toxicity)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_best_fit_packing, op3_token_files, op4_benchmark_decontamination, op5_ngram_jaccard, op7_line_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
