@@ -46,6 +46,12 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), 3, Fraction(9, 10))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+
+    return score(documents(spark, sf_dir))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines removed, and length and hash of the text that is left."""
     from .linededup import dedup_lines
@@ -54,14 +60,30 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_removed", F.char_length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict
+
+    return predict(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
     return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_best_fit_packing, op3_token_files, op4_benchmark_decontamination, op5_ngram_jaccard, op7_line_dedup, op9_toxicity)}
+    found = (
+        op1_fingerprints, op2_best_fit_packing, op3_token_files, op4_benchmark_decontamination, op5_ngram_jaccard,
+        op6_quality, op7_line_dedup, op8_language_id, op9_toxicity, op10_license_scan,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
