@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Encoder, runs
+from .tokens import encoder, runs
 
 #: Tokens of a sequence, bins open at a time.
 CAPACITY, OPEN = 4096, 512
@@ -62,14 +62,13 @@ def pieces(docs: DataFrame, path: str, kind: str = "word", end_id: int = 1, capa
     A document is its ids and ``end_id``; only one longer than ``capacity`` is cut. A null text is an empty one."""
 
     def run(batches):
-        encoder = Encoder(path, kind)
+        known = encoder(path, kind)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in runs(texts):
+            for ids, texts in runs(batch):
                 out = []
-                for doc, raw in zip(ids[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
+                for doc, raw in zip(ids, known.encode(texts), strict=True):
                     raw += end
                     for p in range(0, len(raw), step):
                         part = raw[p : p + step]

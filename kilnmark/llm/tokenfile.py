@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import Scratch
-from .tokens import Encoder, runs
+from .tokens import encoder, runs
 
 #: Every so many values a select sample; ids in a shard, about.
-EVERY, SHARD_IDS = 256, 4_000_000
+EVERY, SHARD_IDS = 256, 1_000_000
 _HEAD = struct.Struct("<6sHQQQq")
 _PART = struct.Struct("<BQQQ")
 
@@ -129,7 +129,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encoder, end = Encoder(tokenizer, kind), np.array([end_id], "<u4").tobytes()
+        known, end = encoder(tokenizer, kind), np.array([end_id], "<u4").tobytes()
         ids: list[bytes] = []
         held: list[int | None] = []
         size = 0
@@ -142,9 +142,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id
             return row
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in runs(texts):
-                for d, raw in zip(keys[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
+            for keys, texts in runs(batch):
+                for d, raw in zip(keys, known.encode(texts), strict=True):
                     held.append(d)
                     ids.append(raw + end)
                     size += len(raw) // 4 + 1
