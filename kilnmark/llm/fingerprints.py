@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hashes in a sketch, words in a shingle, rows of one block of the neighbour search.
-K, WIDTH, BLOCK = 128, 5, 512
+#: Hashes in a sketch, words in a shingle; ids in a block of the neighbour search, at least, and number of blocks, at most.
+K, WIDTH, BLOCK, BLOCKS = 128, 5, 512, 1 << 17
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -77,41 +77,29 @@ def merge_sketches(df: DataFrame, key: str, sketch: str, k: int = K) -> DataFram
     return kept.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list("h")).alias(sketch))
 
 
-def _heads(keys: DataFrame, levels: int = 3) -> DataFrame:
-    """(block, after): the least id of the next block that has rows; after the last, the least of all.
-
-    Blocks of blocks keep every window to BLOCK rows; the topmost one has one row for each BLOCK**3 ids."""
-    first = keys.groupBy("block").agg(F.min("doc_id").alias("head"))
-    cur = first.select(F.col("block").alias("b0"), "head")
-    tables = []
-    for i in range(levels):
-        up = f"b{i + 1}"
-        cur = cur.withColumn(up, F.floor(F.col(f"b{i}") / BLOCK))
-        tables.append(cur)
-        cur = cur.groupBy(up).agg(F.min("head").alias("head"))
-    top = cur.withColumn("after", F.coalesce(F.lead("head").over(Window.orderBy(f"b{levels}")), F.min("head").over(Window.orderBy(f"b{levels}").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    down = top.select(f"b{levels}", "after")
-    for i in reversed(range(levels)):
-        up = f"b{i + 1}"
-        own = tables[i].join(down, up).withColumn("after", F.coalesce(F.lead("head").over(Window.partitionBy(up).orderBy(f"b{i}")), "after"))
-        down = own.select(f"b{i}", "after")
-    return down.select(F.col("b0").alias("block"), "after")
-
-
-def next_texts(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, n_chars, sketch) with next_text and next_sketch, of the next row by ascending doc_id.
-
-    Ids are taken to be unique; rows of one id go by their text. A null id counts as -1. The last row's next is the first; a sole row is its own next."""
-    docs = docs.withColumn("block", F.floor(F.coalesce("doc_id", F.lit(-1)) / BLOCK))
-    w = Window.partitionBy("block").orderBy("doc_id", "text")
-    inner = docs.withColumn("follows", F.lead(F.struct("text", "sketch")).over(w))
-    ends = _heads(docs.select("block", F.coalesce("doc_id", F.lit(-1)).alias("doc_id")))
-    ids = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("after"), F.col("text").alias("t"), "sketch")
-    first = ids.join(ends.select("after").distinct(), "after", "left_semi")
-    first = first.withColumn("r", F.row_number().over(Window.partitionBy("after").orderBy("t"))).filter("r = 1").select("after", F.struct(F.col("t").alias("text"), "sketch").alias("wraps"))
-    wraps = ends.join(first, "after").select("block", "wraps")
+def next_texts(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
+    """``docs`` (doc_id, text) with sketch, next_text and next_sketch, those of the next row by ascending doc_id.
+
+    Ids are taken to be unique; rows of one id go by their text. A null id counts as -1. The last row's next is the
+    first; a sole row is its own next. Rows are dealt once, by blocks of neighbouring ids; only the first row of each of at
+    most BLOCKS blocks is looked up besides, for the last row of the block before."""
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    key = F.coalesce("doc_id", F.lit(-1))
+    ends = docs.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    lo, hi = ends["lo"] or 0, ends["hi"] or 0
+    span = max(BLOCK, -(-(hi - lo + 1) // BLOCKS))
+    docs = docs.withColumn("block", F.floor((key - lo) / span))
+    w = Window.orderBy("block")  # BLOCKS rows at most, as are the tables that follow from it
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = docs.groupBy("block").agg(F.min(key).alias("head")).select("block", F.coalesce(F.lead("head").over(w), F.min("head").over(whole)).alias("after"))
+    first = docs.withColumn("after", key).join(F.broadcast(heads.select("after")), "after", "left_semi")
+    first = first.withColumn("r", F.row_number().over(Window.partitionBy("after").orderBy("text"))).filter("r = 1").select("after", "text")
+    first = with_sketch(first, "text", "sketch", k, width)
+    wraps = heads.join(first, "after").select("block", F.struct("text", "sketch").alias("wraps"))
+    inner = with_sketch(docs, "text", "sketch", k, width)
+    inner = inner.withColumn("follows", F.lead(F.struct("text", "sketch")).over(Window.partitionBy("block").orderBy("doc_id", "text")))
     full = inner.join(wraps, "block", "left").withColumn("follows", F.coalesce("follows", "wraps"))
-    return full.select(*[c for c in docs.columns if c != "block"], F.col("follows.text").alias("next_text"), F.col("follows.sketch").alias("next_sketch"))
+    return full.select("doc_id", "text", "sketch", F.col("follows.text").alias("next_text"), F.col("follows.sketch").alias("next_sketch"))
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
@@ -121,8 +109,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH) -> Data
     Null and empty texts have empty fingerprints; two empty texts have likeness 1, an empty and another one 0. Extra
     columns are ignored; an empty table gives an empty result; repeated rows come out as often."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = with_sketch(rows.withColumn("n_chars", F.char_length("text").cast("long")), "text", "sketch", k, width)
-    rows = next_texts(rows)
+    rows = next_texts(rows, k, width).withColumn("n_chars", F.char_length("text").cast("long"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
     rows = with_sketch(rows.withColumn("edited", edited), "edited", "edited_sketch", k, width)
