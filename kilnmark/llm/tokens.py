@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow.compute as pc
 
 #: Pieces kept by a Python worker; then the cache starts anew.
-CACHE = 700_000
+CACHE = 1_400_000
 #: A word whose lower case is as long, and marks behind it: two tokens' worth for a ``word`` file.
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 _ODD = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
