@@ -290,7 +290,8 @@ def removed_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     texts = scratch.cut(texts.join(entries.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]), "texts")
     side = lambda s: texts.select(F.col("class").alias(s), F.col("line_text").alias(f"{s}_text"))
     verify = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(_same, "a long, b long, link boolean")
-    state, _ = linked(entries.withColumn("tokens", F.lit(None).cast("array<bigint>")), _may_link, verify, scratch, wide)
+    payload = entries.dropDuplicates(["class"]).select("class", "n", "sketch", F.lit(None).cast("array<bigint>").alias("tokens"))
+    state, _ = linked(entries.select("token", "class", "kind"), payload, _may_link, verify, scratch, wide)
     first = places.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
     grouped = first.join(state, "class", "left").withColumn("component", F.coalesce("component", "class"))
     heads = grouped.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("total")).filter("total > 1")
@@ -301,7 +302,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
 def _rewrite(batches):
     for batch in batches:
-        gone = batch.column(batch.schema.get_field_index("__gone")).to_pylist()
+        gone = batch.column(batch.schema.get_field_index("__kilnmark_gone")).to_pylist()
         at = batch.schema.get_field_index("text")
         texts, n = batch.column(at).to_pylist(), []
         for i, g in enumerate(gone):
@@ -316,9 +317,10 @@ def _rewrite(batches):
 def dedup_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with the text that is left and n_removed, the number of lines that went; see removed_lines.
 
-    All other columns stay as they are. A null text stays null; empty and blank lines stay; a text whose lines all
+    All other columns stay as they are; one that is called n_removed is replaced. A null text stays null; empty and blank lines stay; a text whose lines all
     went becomes empty. An empty table gives an empty result."""
-    gone = removed_lines(docs, scratch).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("line").alias("__gone"))  # no more than the document's lines
-    full = docs.join(gone, docs["doc_id"] == F.col("__id"), "left").select(*[docs[c] for c in docs.columns], "__gone")
+    docs = docs.drop("n_removed")
+    gone = removed_lines(docs, scratch).groupBy(F.col("doc_id").alias("__kilnmark_id")).agg(F.collect_list("line").alias("__kilnmark_gone"))  # no more than the document's lines
+    full = docs.join(gone, docs["doc_id"] == F.col("__kilnmark_id"), "left").select(*[docs[c] for c in docs.columns], "__kilnmark_gone")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_removed long"
     return full.mapInArrow(_rewrite, schema)
