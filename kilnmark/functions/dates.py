@@ -50,22 +50,22 @@ def make_date(y: Column, m: Column, d: Column, first: int = FIRST_YEAR, last: in
     return F.when(y.between(first, last), stamp.cast("date"))
 
 
-def _number(c: Column) -> Column:
-    return F.when(c.rlike("^[0-9]+$"), F.try_to_number(c, F.lit("9999")).cast("int")).otherwise(T.month_number(c))
+def matches(c: Column, name: str) -> Column:
+    """Array of the dates that one pattern finds in prepared (upper-case, repaired) text.
 
+    The text is searched once; groups are read from the few matches."""
+    pattern, (y, m, d) = PATTERNS[name]
+    p = "(?U)" + pattern
+    named = _MON in pattern
 
-def matches(c: Column, name: str) -> Column:
-    """Array of the dates that one pattern finds in prepared (upper-case, repaired) text."""
-    pattern, groups = PATTERNS[name]
-    every = [F.regexp_extract_all(c, F.lit("(?U)" + pattern), F.lit(g)) for g in (1, 2, 3)]
-    part = lambda x, g: _number(x[str(g - 1)])
-    zipped = F.arrays_zip(*[e.alias(str(i)) for i, e in enumerate(every)])
-    if name == "f":  # two two-digit years are possible: the first order that is a date
-        found = F.transform(zipped, lambda x: F.coalesce(make_date(part(x, 1), part(x, 2), part(x, 3)), make_date(part(x, 3), part(x, 2), part(x, 1))))
-    else:
-        y, m, d = groups
-        found = F.transform(zipped, lambda x: make_date(part(x, y), part(x, m), part(x, d)))
-    return F.filter(found, lambda x: x.isNotNull())
+    def dated(x):
+        text = lambda g: F.regexp_extract(x, p, g)
+        part = lambda g: text(g).try_cast("int")
+        if name == "f":  # two two-digit years are possible: the first order that is a date
+            return F.coalesce(make_date(part(1), part(2), part(3)), make_date(part(3), part(2), part(1)))
+        return make_date(part(y), T.month_number(text(m)) if named else part(m), part(d))
+
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), dated), lambda x: x.isNotNull())
 
 
 def prepared(c: Column) -> Column:
@@ -81,11 +81,16 @@ def gate(name: str, c: Column) -> Column:
     return F.lit(True)
 
 
+def extract_prepared(t: Column) -> Column:
+    """All dates of all patterns in prepared text; one without a digit isn't searched."""
+    none = F.array().cast("array<date>")
+    every = F.concat(*[matches(t, n) if n not in ("g", "h8", "h9") else F.when(gate(n, t), matches(t, n)).otherwise(none) for n in PATTERNS])
+    return F.when(t.rlike("[0-9]"), every).otherwise(none)
+
+
 def extract_dates(c: Column) -> Column:
     """All dates of all patterns in a text; a null has none."""
-    t = prepared(F.coalesce(c, F.lit("")))
-    none = F.array().cast("array<date>")
-    return F.concat(*[F.when(gate(n, t), matches(t, n)).otherwise(none) for n in PATTERNS])
+    return F.get(F.transform(F.array(prepared(F.coalesce(c, F.lit("")))), extract_prepared), 0)
 
 
 def with_ngrams(fragments: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -99,7 +104,9 @@ def with_ngrams(fragments: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def choose_date(grams: Column) -> Column:
     """The latest date of the best-scored candidate text; null if none or its score is negative."""
-    every = F.flatten(F.transform(grams, lambda g: F.transform(extract_dates(g), lambda d: F.struct(T.keyword_score(g).alias("score"), d.alias("dt")))))
+    # prepared and scored once a candidate text, not once a pattern or date
+    ready = F.transform(grams, lambda g: F.struct(prepared(F.coalesce(g, F.lit(""))).alias("t"), T.keyword_score(g).alias("score")))
+    every = F.flatten(F.transform(ready, lambda r: F.transform(extract_prepared(r["t"]), lambda d: F.struct(r["score"].alias("score"), d.alias("dt")))))
     best = F.array_max(every)
     return F.when(best["score"] >= 0, best["dt"])
 

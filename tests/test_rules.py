@@ -51,9 +51,11 @@ def test_patterns_find_what_python_finds(spark, name):
     texts = ["".join(rng.choice(bits, rng.integers(3, 12))) for _ in range(300)]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     pattern = D.PATTERNS[name][0]
-    got = {r["i"]: r["v"] for r in rows.select("i", F.regexp_extract_all("t", F.lit("(?U)" + pattern), F.lit(0)).alias("v")).collect()}
-    for i, t in enumerate(texts):
-        assert got[i] == [m.group(0) for m in re.finditer(pattern, t)]
+    p = "(?U)" + pattern
+    parts = F.transform(F.regexp_extract_all("t", F.lit(p), F.lit(0)), lambda x: F.array(*[F.regexp_extract(x, p, g) for g in (1, 2, 3)]))
+    got = {r["i"]: r["v"] for r in rows.select("i", parts.alias("v")).collect()}
+    for i, t in enumerate(texts):  # a match read on its own has the groups that it has in its text
+        assert got[i] == [list(m.groups()) for m in re.finditer(pattern, t)]
 
 
 def test_spans_are_python_spans(spark):
