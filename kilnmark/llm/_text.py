@@ -6,6 +6,10 @@ two entries of one cumulative sum; a splitmix64 finaliser spreads them.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,12 +54,24 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     return have[:n]
 
 
+def _release() -> None:
+    """Drop what encoders of an earlier stage have learned in this Python worker, and hand free memory back."""
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens is not None and tokens._encoders:
+        tokens._encoders.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about ``limit`` bytes; a longer row is a run of its own.
 
     A null is an empty text."""
     if not len(column):
         return
+    _release()
     column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
