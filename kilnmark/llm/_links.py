@@ -94,36 +94,38 @@ def _pairs(may_link: Callable, first: bool):
     return run
 
 
-def _candidates(entries: DataFrame, state: DataFrame, failed: DataFrame | None, may_link: Callable, first: bool, groups: int) -> DataFrame:
+def _candidates(entries: DataFrame, payload: DataFrame, state: DataFrame, failed: DataFrame | None, may_link: Callable, first: bool, groups: int) -> DataFrame:
     rows = entries.join(state, "class")
+    # buckets with one component are done; only the rows of others are joined with what comparing needs
     sizes = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     sizes = sizes.filter("lo <> hi").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(sizes, "token").withColumn("own", F.expr("cast(pmod(xxhash64(class), blocks) as int)"))
-    ij = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("own")) * F.col("blocks") + F.greatest(j, F.col("own")))
-    rows = rows.withColumn("pair", F.explode(ij))
+    if first:
+        payload = payload.withColumn("tokens", F.lit(None).cast("array<bigint>"))
+    rows = rows.join(payload, "class")
     if failed is not None:
         rows = rows.join(failed, "class", "left")
     else:
         rows = rows.withColumn("failed", F.lit(None).cast("array<bigint>"))
-    if first:
-        rows = rows.withColumn("tokens", F.lit(None).cast("array<bigint>"))
+    ij = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("own")) * F.col("blocks") + F.greatest(j, F.col("own")))
+    rows = rows.withColumn("pair", F.explode(ij))
     rows = rows.withColumn("cross", F.floor(F.col("pair") / F.col("blocks")) != F.col("pair") % F.col("blocks"))
     rows = rows.withColumn("lane", F.pmod(F.xxhash64("token", "pair"), F.lit(groups)))
     rows = rows.select("lane", "token", "pair", "class", "component", "n", "kind", "sketch", "failed", "own", "cross", "tokens")
     return rows.groupBy("lane").applyInArrow(_pairs(may_link, first), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def linked(entries: DataFrame, may_link: Callable, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, groups: int) -> tuple[DataFrame, DataFrame]:
+def linked(entries: DataFrame, payload: DataFrame, may_link: Callable, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, groups: int) -> tuple[DataFrame, DataFrame]:
     """(state, links): class and component of every class in ``entries``, and the verified links that span them.
 
-    ``entries``: token (bucket), class, n, kind (int), sketch (binary, one length), tokens (all buckets of the class
-    in which it can be a pair's member, or null: a pair may then be emitted by several buckets).
+    ``entries``: token (bucket), class, kind (int). ``payload``, one row a class: class, n, sketch (binary, one
+    length), tokens (all buckets in which it can be a pair's member, or null: several buckets may then emit a pair).
     ``may_link(sketch, sketches, n, ns, kind, kinds)``: (mask, order of trial). ``verify``: pairs (a, b) to (a, b, link)."""
     state = scratch.cut(entries.select("class", F.col("class").alias("component")).distinct(), "state")
     links = failed = None
     first = True
     while True:
-        tested = scratch.cut(verify(_candidates(entries, state, failed, may_link, first, groups)), "tested")
+        tested = scratch.cut(verify(_candidates(entries, payload, state, failed, may_link, first, groups)), "tested")
         got = tested.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("link").cast("int")), F.lit(0)).alias("k")).first()
         if not got["n"]:
             break

@@ -54,15 +54,20 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     return have[:n]
 
 
+def trim() -> None:
+    """Hand freed memory of this Python worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _release() -> None:
     """Drop what encoders of an earlier stage have learned in this Python worker, and hand free memory back."""
     tokens = sys.modules.get(f"{__package__}.tokens")
     if tokens is not None and tokens._encoders:
         tokens._encoders.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
 
 
 def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -115,7 +115,7 @@ def _deal(width: int, ranges: int, blocks: int, common: np.ndarray):
         shift = np.zeros(0)
         for batch in batches:
             texts = batch.column(1)
-            for _, _, data, offsets in _text.chunks(texts, 4 << 20):
+            for _, _, data, offsets in _text.chunks(texts, 2 << 20):
                 sets, keys = [], []
                 for s in _text.shingle_sets(data, offsets, width):
                     k = class_key(s)
@@ -146,6 +146,8 @@ def _deal(width: int, ranges: int, blocks: int, common: np.ndarray):
                 out += rows_of(lambda r: -1 - r, to, lambda a, b, tc=tc: tc[a:b].tobytes(), tn, np.searchsorted(block[order], np.arange(blocks + 1)))
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["key", "tokens", "classes", "ns"])
+                del out, cols, sets, toks, cls, rest, rest_cls, order, to, tc, tn
+            _text.trim()
 
     return run
 
@@ -181,6 +183,8 @@ def _shared(blocks: int):
         block = (cls % U(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         toks, cls, each, block = toks[order], cls[order], each[order], block[order]
+        del parts, keep, starts, df, order
+        _text.trim()
         cuts = np.searchsorted(block, np.arange(blocks + 1))
         full = np.flatnonzero(np.diff(cuts))
         part = lambda x: pa.array([x[cuts[r] : cuts[r + 1]].tobytes() for r in full], pa.binary())
@@ -273,13 +277,14 @@ def jaccard_classes(docs: DataFrame, width: int = 5, threshold: Fraction = Fract
     counts = _bucket_counts(scan, spark)
     common = counts > 4 * max(16.0, counts.mean())
     tasks = docs.rdd.getNumPartitions()
-    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * tasks, 8)
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * tasks, 8)
     dealt = docs.mapInArrow(_deal(width, wide, wide, common), "key long, tokens binary, classes binary, ns binary")
     returned = dealt.groupBy("key").applyInArrow(_shared(wide), "block long, tokens binary, classes binary, ns binary")
     schema = "class long, n long, tokens array<long>, " + ", ".join(f"prefix{i} array<long>" for i in range(_ORDERS)) + ", sketch binary"
     cand = scratch.cut(returned.groupBy("block").applyInArrow(_classes(t, counts), schema), "classes")
-    entries = cand.select("class", "n", F.lit(0).alias("kind"), "sketch", F.col("prefix0").alias("tokens"), F.explode("prefix0").alias("token"))
-    state, links = linked(entries, _may_link(t), lambda pairs: _verify(pairs, cand, t), scratch, wide)
+    entries = cand.select("class", F.lit(0).alias("kind"), F.explode("prefix0").alias("token"))
+    payload = cand.select("class", "n", "sketch", F.col("prefix0").alias("tokens"))
+    state, links = linked(entries, payload, _may_link(t), lambda pairs: _verify(pairs, cand, t), scratch, wide)
     members = members.join(state, "class", "left").select("doc_id", "class", "n", F.when(F.col("n") > 0, F.coalesce("component", "class")).alias("component"))
     return members, links
 
