@@ -166,8 +166,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 s = Shard(data)
                 ends = s.ends.all()
                 starts = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
-                flat = s.flat.astype("<u4")
-                crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
+                flat = memoryview(s.flat.astype("<u4")).cast("B") if s.n_ids else b""
+                crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * s.n, pa.int64()), pa.array([seq] * s.n, pa.int64()), pa.array(s.doc_ids(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     shards = spark.read.schema("part long, seq long, n_docs long, n_ids long, data binary").parquet(path)
