@@ -1,9 +1,11 @@
 """Line dedup by a segment-partition edit join.
 
-A line within K edits of another one keeps at least one of that one's K + 1 segments unchanged, at a place that its
-length and the segment's number bound. Every distinct line gives its own segments as an index, keyed by length,
-segment number and hash, and probes the segments of lines as long as itself or up to K shorter. Lines that meet under
-a key are compared by a character histogram and then by banded bit-parallel edit distance on their texts.
+A line may have an edit for every SHARE characters of the shorter one of a pair, K at most; shorter lines than SHARE
+are compared as a whole, by their hash. A line within k edits of another one keeps at least one of that one's k + 1
+segments unchanged, at a place that its length and the segment's number bound. Every distinct line gives its own
+segments as an index, keyed by length, segment number and hash, and probes the segments of lines as long as itself or
+up to k shorter. Lines that meet under a key are compared by a character histogram and then by banded bit-parallel edit
+distance on their texts.
 A line is removed if an earlier line of the corpus is in its group of linked lines; each group keeps its first line.
 """
 
@@ -21,11 +23,18 @@ from ._links import linked
 from ._shared import Scratch
 from ._text import INVERSE, U, mix, powers
 
-#: Edits that still are the same line; characters of the shortest line that is looked at; classes of the histogram.
-K, LEAST, CLASSES = 2, 16, 24
+#: Edits that still are the same line, at most; characters of the shortest line that is looked at; classes of the histogram.
+K, LEAST, CLASSES = 2, 1, 24
+#: Characters for each edit that is allowed; lines of blanks alone stay if they are shorter than K edits' worth.
+SHARE = 8
 _BITS = 1 << 24
 
 
+def limit(n):
+    """Edits allowed between lines of which the shorter one has n characters; n may be an array."""
+    return np.minimum(np.asarray(n) // SHARE, K)
+
+
 def within(a: str, b: str, k: int = K) -> bool:
     """Whether the edit distance is k at most: k + 1 bit vectors over the 2k + 1 diagonals, one step a character."""
     if abs(len(a) - len(b)) > k:
@@ -87,7 +96,9 @@ def _lines(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray
         head = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=head[1:])
         a, b = head[starts], head[ends]
-        keep = b - a >= LEAST
+        ink = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(~_text.SPACE[data], out=ink[1:])
+        keep = (b - a >= LEAST) & ((ink[ends] > ink[starts]) | (b - a >= K * SHARE))
         yield lo, data, a[keep], b[keep], rows[keep], number[keep], starts[keep], ends[keep]
 
 
@@ -115,7 +126,8 @@ def _keys(ranges: int):
             for _, data, a, b, _, _, starts, ends in _lines(batch.column(1)):
                 h = _hashes(data, starts, ends)
                 fresh = []
-                for i, x in enumerate(h.tolist()):
+                edits = limit(b - a) > 0  # others are found by their hash alone
+                for i, x in zip(np.flatnonzero(edits).tolist(), h[edits].tolist(), strict=True):
                     if x not in seen:
                         seen.add(x)
                         fresh.append(i)
@@ -136,15 +148,15 @@ def _keys(ranges: int):
                     refs.append((ref * 2 + probe).astype(shape))
 
                 every = np.arange(len(h))
-                for short in range(K + 1):  # lines shorter by so much
+                for k, short in ((k, short) for k in range(1, K + 1) for short in range(k + 1)):  # lines with k edits, shorter by so much
                     of = length - short
-                    size, more = of // (K + 1), of % (K + 1)
-                    for i in range(K + 1):
-                        extra = np.maximum(0, i - (K + 1 - more))
-                        at, n_seg = i * size + extra, size + (i >= K + 1 - more)
-                        for shift in range(max(-i, short - (K - i)), min(i, short + (K - i)) + 1):
+                    size, more = of // (k + 1), of % (k + 1)
+                    for i in range(k + 1):
+                        extra = np.maximum(0, i - (k + 1 - more))
+                        at, n_seg = i * size + extra, size + (i >= k + 1 - more)
+                        for shift in range(max(-i, short - (k - i)), min(i, short + (k - i)) + 1):
                             place = at + shift
-                            ok = (place >= 0) & (place + n_seg <= length) & (of >= LEAST)
+                            ok = (place >= 0) & (place + n_seg <= length) & (limit(of) == k)
                             probe = int(bool(short or shift))  # unshifted ones of its own length are its index
                             add((a + place)[ok], n_seg[ok], of[ok], i, every[ok], probe)
                 key, ref = np.concatenate(keys), np.concatenate(refs)
@@ -189,7 +201,8 @@ def histograms(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 def _may_link(bits, others, n, ns, kind, kinds):
     far = (others - bits).view(np.int8).astype(np.int16) if others.dtype == np.uint8 else (others.view(np.uint8).reshape(len(others), -1) - bits.view(np.uint8)).view(np.int8).astype(np.int16)
     diff = np.abs(far).sum(axis=1)
-    return (diff <= 2 * K) & (np.abs(ns - n) <= K) & ((kinds == 0) | (kind == 0)), diff
+    most = limit(np.minimum(n, ns))
+    return (diff <= 2 * most) & (np.abs(ns - n) <= most) & ((kinds == 0) | (kind == 0)), diff
 
 
 def _met(table: pa.Table) -> pa.Table:
@@ -220,7 +233,7 @@ def _met(table: pa.Table) -> pa.Table:
     many = np.diff(starts)
     two = starts[:-1][many == 2]
     if len(two):
-        ok = (np.abs((hist[two + 1] - hist[two]).view(np.int8).astype(np.int16)).sum(axis=1) <= 2 * K) & ((kind[two] == 0) | (kind[two + 1] == 0))
+        ok = (np.abs((hist[two + 1] - hist[two]).view(np.int8).astype(np.int16)).sum(axis=1) <= 2 * limit(np.minimum(size[two], size[two + 1]))) & ((kind[two] == 0) | (kind[two + 1] == 0))
         good[two[ok]] = good[two[ok] + 1] = True
     for g in np.flatnonzero(many > 2):
         x, y = starts[g], starts[g + 1]
@@ -270,13 +283,13 @@ def _wanted(entries: DataFrame) -> bytes:
 def _same(batches):
     for batch in batches:
         a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([within(x, y) for x, y in zip(a, b, strict=True)])], names=["a", "b", "link"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([within(x, y, int(limit(min(len(x), len(y))))) for x, y in zip(a, b, strict=True)])], names=["a", "b", "link"])
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, line) of every line, counted from 0, that repeats an earlier one of the corpus or is within K edits of it.
+    """(doc_id, line) of every line, counted from 0, that repeats an earlier one of the corpus or is within limit() edits of it.
 
-    Earlier is by (doc_id, line). Lines shorter than LEAST characters stay. A row without a doc_id is left alone. Of
+    Earlier is by (doc_id, line). Empty lines stay, and blank ones of fewer than K * SHARE characters. A row without a doc_id is left alone. Of
     rows with the same doc_id the first place of a line counts as one place, so that none of them loses it there."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
@@ -317,7 +330,7 @@ def _rewrite(batches):
 def dedup_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with the text that is left and n_removed, the number of lines that went; see removed_lines.
 
-    All other columns stay as they are; one that is called n_removed is replaced. A null text stays null; empty and blank lines stay; a text whose lines all
+    All other columns stay as they are; one that is called n_removed is replaced. A null text stays null; empty and short blank lines stay; a text whose lines all
     went becomes empty. An empty table gives an empty result."""
     docs = docs.drop("n_removed")
     gone = removed_lines(docs, scratch).groupBy(F.col("doc_id").alias("__kilnmark_id")).agg(F.collect_list("line").alias("__kilnmark_gone"))  # no more than the document's lines

@@ -321,6 +321,33 @@ def test_line_dedup(spark, odd, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_short_lines(spark):
+    """Every line with a mark takes part: exactly below 8 characters, with one edit below 16, with two from there on."""
+    rng = random.Random(11)
+    texts = ["\n".join("".join(rng.choice("ab") for _ in range(rng.choice((0, 1, 3, 6, 7, 8, 9, 12, 15, 16, 17)))) for _ in range(4)) for _ in range(60)]
+    texts += ["Les.\nyes\n \n\t\n你好。\nA short line", "Les.\nyet\n \n\t\n你好。\nA short lime", "Les.\nA shirt lima"]
+    lines = [(d, j, x) for d, t in enumerate(texts) for j, x in enumerate(t.split("\n")) if x.strip()]
+    group = {x: x for _, _, x in lines}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for x, y in ((x, y) for x in list(group) for y in list(group) if x < y):
+        n = min(len(x), len(y))
+        if edit_distance(x, y) <= (2 if n >= 16 else 1 if n >= 8 else 0):
+            group[find(x)] = find(y)
+    seen, want = set(), set()
+    for d, j, x in lines:
+        if find(x) in seen:
+            want.add((d, j))
+        seen.add(find(x))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {(r["doc_id"], r["line"]) for r in linededup.removed_lines(df).collect()} == want
+    assert {(61, 0), (61, 4), (61, 5), (62, 0)} <= want and not {(61, 1), (61, 2), (61, 3), (62, 1)} & want
+
+
 # --- 8, 9
 
 
