@@ -2,11 +2,13 @@
 
 Units of a text are its lines, its paragraphs (runs of lines without a blank one) and the whole. A unit that shares no
 bigram with any template is passed over; a template whose number of bigrams can't reach the least coefficient with the
-unit's is passed over; the rest are compared exactly, as multisets.
+unit's is passed over; the rest are compared exactly, as multisets. For notices within longer units, windows of each
+template's size are compared where they begin at one of its bigrams and hold enough of them, the most alike first.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 
 import numpy as np
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._licence_texts import TEXTS
 
 #: Least Dice coefficient of a find.
 LEAST = 0.75
@@ -53,7 +56,7 @@ def _bigrams(hashes: np.ndarray) -> np.ndarray:
 class Index:
     """Bigrams of the templates; a template of one word counts as that word."""
 
-    def __init__(self, templates=TEMPLATES, least: float = LEAST):
+    def __init__(self, templates=(*TEMPLATES, *TEXTS), least: float = LEAST):
         self.least = least
         self.names = [n for n, _ in templates]
         self.grams = []
@@ -62,17 +65,54 @@ class Index:
             self.grams.append(Counter(_bigrams(_text.words(data, np.array([0, len(data)]))[3]).tolist()))
         self.sizes = np.array([sum(g.values()) for g in self.grams])
         self.every = np.unique(np.array([x for g in self.grams for x in g], np.uint64))
+        #: Templates that for the most part are within one of another licence that is twice as long, or longer.
+        self.parts = {(i, j) for i, a in enumerate(self.grams) for j, b in enumerate(self.grams) if self.names[i] != self.names[j] and self.sizes[j] >= 2 * self.sizes[i] and sum((a & b).values()) >= least * self.sizes[i]}
+        self.bodies = {j for _, j in self.parts}
+        #: For each bigram and template whether it is one of its.
+        self.member = np.array([np.isin(self.every, np.array(list(g), np.uint64)) for g in self.grams]).T.reshape(len(self.every), len(self.grams))
 
-    def best(self, grams: Counter, size: int) -> tuple[float, str] | None:
+    def best(self, grams: Counter, size: int) -> tuple[float, int] | None:
         """The most alike template, the first of those as alike."""
         found = None
         for i in np.flatnonzero(2 * np.minimum(self.sizes, size) >= self.least * (self.sizes + size)):
             both = sum((grams & self.grams[i]).values())
             dice = 2 * both / (size + int(self.sizes[i]))
             if dice >= self.least and (found is None or dice > found[0]):
-                found = dice, self.names[i]
+                found = dice, int(i)
         return found
 
+    def windows(self, grams: np.ndarray, rows: np.ndarray, hit: np.ndarray) -> list[tuple[float, int, int, int]]:
+        """(dice, template, first bigram, end) of windows alike enough that don't overlap a more alike one.
+
+        A window of a template's size that begins at no bigram of it has no more of them than one that begins at its next."""
+        at = np.flatnonzero(hit)
+        of = self.member[np.searchsorted(self.every, grams[at])]
+        ends = np.searchsorted(rows, rows[at], "right") - 1  # of the row's bigrams
+        heap = []
+        for t, g in enumerate(self.sizes.tolist()):
+            own = np.flatnonzero(of[:, t])
+            if not g or not len(own):
+                continue
+            x = at[own]
+            stop = np.minimum(x + g, ends[own])
+            bound = 2 * (np.searchsorted(x, stop, "left") - np.arange(len(x))) / (stop - x + g)
+            ok = np.flatnonzero(bound >= self.least)
+            heap += [(-d, t, a, z, False) for d, a, z in zip(np.minimum(bound[ok], 1).tolist(), x[ok].tolist(), stop[ok].tolist(), strict=True)]
+        heapq.heapify(heap)
+        taken, out = np.zeros(len(grams), bool), []
+        while heap:
+            d, t, a, z, exact = heapq.heappop(heap)
+            if taken[a:z].any():
+                continue
+            if exact:
+                taken[a:z] = True
+                out.append((-d, t, a, z))
+                continue
+            dice = 2 * sum((Counter(grams[a:z].tolist()) & self.grams[t]).values()) / (z - a + int(self.sizes[t]))
+            if dice >= self.least:
+                heapq.heappush(heap, (-dice, t, a, z, True))
+        return out
+
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str, str, int, float]]:
         """(row, unit kind, licence, first line, dice) of every unit that is alike enough."""
         if not len(data) or not len(self.every):
@@ -86,7 +126,7 @@ class Index:
         line = np.searchsorted(breaks, starts, "right")
         blank = np.cumsum(np.append(0, np.diff(line) > 1))  # paragraphs of words; a blank line adds two breaks
         hit = np.isin(grams, self.every) & (rows[:-1] == rows[1:])
-        out, done = [], set()
+        out, done, found_at = [], set(), []
         for i in np.flatnonzero(hit).tolist():
             r = int(rows[i])
             base = int(np.searchsorted(breaks, offsets[r], "left"))
@@ -103,14 +143,28 @@ class Index:
                 if not (2 * np.minimum(self.sizes, size) >= self.least * (self.sizes + size)).any():
                     continue
                 if found := self.best(Counter(grams[lo : hi - 1].tolist()), size):
-                    out.append((r, kind, found[1], int(line[lo]) - base, round(found[0], 6)))
+                    out.append((r, kind, self.names[found[1]], int(line[lo]) - base, round(found[0], 6)))
+                    found_at.append((lo, hi - 1, *found))
+        spans = np.array([x[:2] for x in found_at], np.int64).reshape(-1, 2)
+        for dice, t, a, z in sorted(self.windows(grams, rows, hit), key=lambda w: w[2]):
+            near = [found_at[i] for i in np.flatnonzero((spans[:, 0] < z) & (spans[:, 1] > a))]
+            # the unit around it, or most of it, is the same find
+            if any(self.names[u] == self.names[t] or d >= dice and 2 * (min(y, z) - max(x, a)) > z - a and 2 * (z - a) > y - x for x, y, d, u in near):
+                continue
+            r = int(rows[a])
+            out.append((r, "window", self.names[t], int(line[a]) - int(np.searchsorted(breaks, offsets[r], "left")), round(dice, 6)))
+            found_at.append((a, z, dice, t))
+        # a sentence of a body that another licence has as its notice
+        bodies = [x for x in found_at if x[3] in self.bodies]
+        gone = {i for i, (a, z, _, t) in enumerate(found_at) for x, y, _, u in bodies if x < z and y > a and (t, u) in self.parts and 2 * (min(y, z) - max(x, a)) > z - a}
+        out = [x for i, x in enumerate(out) if i not in gone]
         return out
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
-    """doc_id, license, unit (line, paragraph or text), line (its first, from 0), dice: every unit of ``docs`` like a template.
+def scan(docs: DataFrame, templates=(*TEMPLATES, *TEXTS), least: float = LEAST) -> DataFrame:
+    """doc_id, license, unit (line, paragraph, text or window), line (its first, from 0), dice: every unit of ``docs`` like a template.
 
-    A unit has its most alike template; where a paragraph or text is a single line, only the line is given. Null and empty
+    A window is a run of words within a unit, or across units, that are not such a find themselves. A unit has its most alike template; where a paragraph or text is a single line, only the line is given. Null and empty
     texts have none; repeated rows come out as often; a null doc_id is kept; extra columns are ignored."""
     index = Index(templates, least)
 
@@ -122,7 +176,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFram
                 for r, kind, name, line, dice in index.scan(data, offsets):
                     if kind == "line":
                         lines.add((r, line, dice))
-                    elif (r, line, dice) in lines:
+                    elif kind != "window" and (r, line, dice) in lines:
                         continue
                     out.append((ids[lo + r], name, kind, line, dice))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5

@@ -418,6 +418,28 @@ def test_licenses(spark, sf, odd, empty):
     assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
 
 
+def test_licence_texts_and_windows(spark):
+    """Bodies of licences, whole and within longer texts, and notices inside a longer line."""
+    body = dict(licenses.TEXTS)
+    around = "Some words that have nothing to do with it stand here, and quite a number of them too, so that the whole is long. " * 12
+    rows = [
+        (1, "Copyright 2024 Foo Inc. Licensed under the MIT License. See LICENSE for details."),
+        (2, "Copyright 2024 Foo\n\n" + body["MIT"]),
+        (3, "ISC License\n\n" + body["ISC"].replace("\n", " ")),
+        (4, body["Unlicense"]),
+        (5, "Copyright 2024 Foo\n" + body["BSD-2-Clause"]),
+        (6, "Copyright 2024 Foo\n" + body["BSD-3-Clause"]),
+        (7, around + body["Zlib"].replace("\n", " ") + " " + around + " Licensed under CC BY 4.0. " + around),
+        (8, around),
+    ]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], r["unit"], r["dice"]))
+    assert got[1] == [("MIT", "window", 1.0)]
+    assert {i: {x[0] for x in got[i]} for i in (2, 3, 4, 5, 6)} == {2: {"MIT"}, 3: {"ISC"}, 4: {"Unlicense"}, 5: {"BSD-2-Clause"}, 6: {"BSD-3-Clause"}}
+    assert got[7] == [("Zlib", "window", 1.0), ("CC-BY-4.0", "window", 1.0)] and 8 not in got
+
+
 # --- shared
 
 
