@@ -163,32 +163,96 @@ def test_leaks(spark, sf, odd, empty):
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), bench).collect()}
     assert {(n, i) for n, _, i in rows} <= found
     assert decontaminate.leaks(odd, bench).count() == 0 and decontaminate.leaks(empty, bench).count() == 0
-    assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
+    assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.keep_clean(docs, bench.limit(0)).count() == len(texts)
     assert decontaminate.keep_clean(odd, bench).columns == odd.columns and decontaminate.keep_clean(odd, bench).count() == 11
 
 
-def test_alignment_is_edit_distance():
-    rng = random.Random(4)
-
-    def brute(p, t):
-        row = [0] * (len(t) + 1)
-        for i, x in enumerate(p):
-            new = [i + 1]
-            for j, y in enumerate(t):
-                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
-            row = new
-        return min(row)
-
-    for _ in range(200):
-        p = [rng.randrange(3) for _ in range(12)]
-        t = p[:]
-        for _ in range(rng.randrange(4)):
-            k = rng.randrange(len(t))
-            t[k : k + rng.randrange(2)] = [rng.randrange(3)][: rng.randrange(2)]
-        found = decontaminate.align(np.array(p), np.array(t or [0]), 0, 2, 3)
-        best = brute(p, t)
-        assert found is None or found[2] >= best
-        assert best > 3 or found is not None
+CODE = """def area(shape, scale=1.0):
+\tif shape is None:
+\t\treturn 0
+
+    total = sum(x  *  y for x, y in shape)
+\treturn scale * total
+"""
+ITEMS = [
+    (1, CODE), (2, "  - first of the things to do\r\n    - and one below it, indented\r\n  - second of the things to do\r\n"),
+    (3, "Which\u00a0of the following   statements about rivers is true?  (A) They run uphill.  (B) They run to the sea."),
+    (4, "ΤΟ ΤΕΛΟΣ ΤΟΥ ΔΡΟΜΟΥ ΕΙΝΑΙ ΜΑΚΡΥ ΚΑΙ ΟΛΟΙ ΤΟ ΞΕΡΟΥΝ ΑΠΟ ΠΑΛΙΑ, İstanbul'da da öyle."), (5, "Yes."), (6, None), (7, "")]
+
+
+def test_verbatim_copies_in_any_layout(spark):
+    """Copies with the item's blanks, with others, as excerpts; short items only as whole texts; null and repeated ids."""
+    around = "Words before it stand here.\n", "\nAnd more words come after it."
+    flat = {i: " ".join((t or "").split()) for i, t in ITEMS}
+    rows = [(10 + i, around[0] + (t or "") + around[1]) for i, t in ITEMS[:4]] + [(20 + i, around[0] + flat[i] + around[1]) for i in (1, 2, 3, 4)]
+    rows += [(30 + i, flat[i].replace(" ", " \u2003\n ").upper()) for i in (1, 2, 3)] + [(40, "yes.\n"), (41, "Yes. It is so."), (42, ""), (43, None), (44, around[0] * 9), (None, flat[3]), (44, flat[1])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS * 2, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["end"], r["edits"]) for r in decontaminate.leaks(docs, bench).collect()}
+    want = {(k + i, i) for k in (10, 20, 30) for i in (1, 2, 3)} | {(14, 4), (24, 4), (40, 5), (None, 3), (44, 1)}
+    assert set(got) == want
+    texts = dict(rows)
+    for (d, i), (a, b, e) in got.items():
+        if d in (11, 12, 13, 21, 22, 23):
+            assert e == 0 and " ".join(texts[d][a:b].split()).lower() == flat[i].lower()
+    kept = decontaminate.keep_clean(docs, bench).collect()
+    assert sorted(((r["doc_id"], len(r["text"] or "")) for r in kept), key=str) == sorted([(41, 14), (42, 0), (43, 0), (44, 9 * len(around[0]))], key=str)
+
+
+def test_many_blocks_and_split_searches(spark, sf, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "benchmark"))
+    found, kept = (sorted(map(str, x.collect())) for x in (decontaminate.leaks(docs, bench), decontaminate.keep_clean(docs, bench)))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1000)
+    assert sorted(map(str, decontaminate.leaks(docs, bench).collect())) == found
+    assert sorted(map(str, decontaminate.keep_clean(docs, bench).collect())) == kept
+    items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    whole = pa.array([*texts, "\n".join(texts), None])
+    index = decontaminate.Index(items)
+    want = sorted((r, i) for r, i, *_ in decontaminate._found(whole, index))
+    monkeypatch.setattr(decontaminate, "MEETINGS", 300)
+    assert sorted((r, i) for r, i, *_ in decontaminate._found(whole, index)) == want
+
+
+def test_leaks_against_brute_force():
+    """A text has an item exactly if some pattern of it is within its edits of some region, by plain edit distance."""
+    rng = random.Random(9)
+    letters = "abcdefghij klmnop"
+    item = "".join(rng.choice(letters) for _ in range(150)).replace("  ", "x ").strip()
+    index = decontaminate.Index([(1, item)])
+    clean = decontaminate.normal(item)
+    starts = [*range(0, len(clean) - decontaminate.PATTERN, decontaminate.STRIDE), len(clean) - decontaminate.PATTERN]
+
+    def least(p, t):
+        row = np.zeros(len(t) + 1, int)
+        for x in p:
+            diagonal = np.minimum(row[:-1] + (t != x), row[1:] + 1)
+            new = np.concatenate(([row[0] + 1], diagonal))
+            row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+        return row.min()
+
+    texts = []
+    for _ in range(150):
+        a = rng.randrange(0, 80)
+        y = list(item[a : a + rng.randrange(30, 150)])
+        for _ in range(rng.randrange(0, 16)):
+            k = rng.randrange(len(y))
+            y[k : k + rng.randrange(2)] = rng.choice(["", "q", "zz"])
+            if not y:
+                y = ["a"]
+        texts.append("nothing of it here " + "".join(y) + " nor there")
+    edits = decontaminate.budget(decontaminate.PATTERN)
+    points = [decontaminate.normal(t) for t in texts]
+    want = {i for i, p in enumerate(points) if any(least(clean[a : a + decontaminate.PATTERN], p) <= edits for a in starts)}
+    got = {r for r, *_ in decontaminate._found(pa.array(texts), index)}
+    assert got == want and 20 < len(want) < 140
+
+
+def test_excerpts_of_a_pattern_and_a_stride_are_covered():
+    rng = random.Random(2)
+    item = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(60))
+    index, size = decontaminate.Index([(7, item)]), decontaminate.PATTERN + decontaminate.STRIDE - 1
+    texts = [f"before {item[a : a + size]} after" for a in range(len(item) - size)]
+    assert {r for r, *_ in decontaminate._found(pa.array(texts), index)} == set(range(len(texts)))
 
 
 # --- 5
