@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,5 +47,22 @@ class Scratch:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: A key with more than this share of the rows of a join is joined by a broadcast row; there can be 1 / SHARE of them.
+SHARE = 1 / 2048
+
+
+def join_by_size(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined on ``key`` with ``table``, which has one row a key and how many of ``rows`` have it.
+
+    Keys of more than a SHARE of all these rows, 1 / SHARE keys at most, are broadcast, so that no task gets all rows
+    of a common key; the others are shuffled. Rows without a key in ``table`` go. Both sides are read twice: they
+    should be written tables."""
+    total = table.agg(F.sum(size).alias("n")).first()["n"] or 0
+    least = max(1000.0, total * SHARE)
+    heavy = F.broadcast(table.filter(F.col(size) > least))
+    light = rows.join(F.broadcast(table.filter(F.col(size) > least).select(key)), key, "left_anti").join(table.filter(F.col(size) <= least), key)
+    return rows.join(heavy, key).unionByName(light)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

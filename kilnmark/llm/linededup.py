@@ -6,7 +6,9 @@ segments unchanged, at a place that its length and the segment's number bound. E
 segments as an index, keyed by length, segment number and hash, and probes the segments of lines as long as itself or
 up to k shorter. Lines that meet under a key are compared by a character histogram and then by banded bit-parallel edit
 distance on their texts.
-A line is removed if an earlier line of the corpus is in its group of linked lines; each group keeps its first line.
+A line is removed exactly if an earlier line that is kept is within its edits, in the order of doc_id and line: what is
+kept in a bucket is worked out there line by line, and what buckets say of each other in rounds over the lines that are
+still open, until none is.
 """
 
 from __future__ import annotations
@@ -19,8 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._links import linked
-from ._shared import Scratch
+from ._shared import Scratch, join_by_size
 from ._text import INVERSE, U, mix, powers
 
 #: Edits that still are the same line, at most; characters of the shortest line that is looked at; classes of the histogram.
@@ -28,6 +29,8 @@ K, LEAST, CLASSES = 2, 1, 24
 #: Characters for each edit that is allowed; lines of blanks alone stay if they are shorter than K edits' worth.
 SHARE = 8
 _BITS = 1 << 24
+#: Lines of a block: buckets with more are compared block by block.
+BLOCK = 256
 
 
 def limit(n):
@@ -198,11 +201,10 @@ def histograms(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return np.bincount(owner[on] * CLASSES + of[on], minlength=len(starts) * CLASSES).reshape(-1, CLASSES).astype(np.uint8)
 
 
-def _may_link(bits, others, n, ns, kind, kinds):
-    far = (others - bits).view(np.int8).astype(np.int16) if others.dtype == np.uint8 else (others.view(np.uint8).reshape(len(others), -1) - bits.view(np.uint8)).view(np.int8).astype(np.int16)
-    diff = np.abs(far).sum(axis=1)
+def _near(hist, others, n, ns) -> np.ndarray:
+    """Which of the others the histograms and lengths leave as possible within limit() edits."""
     most = limit(np.minimum(n, ns))
-    return (diff <= 2 * most) & (np.abs(ns - n) <= most) & ((kinds == 0) | (kind == 0)), diff
+    return (np.abs((others - hist).view(np.int8).astype(np.int16)).sum(axis=1) <= 2 * most) & (np.abs(ns - n) <= most)
 
 
 def _met(table: pa.Table) -> pa.Table:
@@ -237,16 +239,15 @@ def _met(table: pa.Table) -> pa.Table:
         good[two[ok]] = good[two[ok] + 1] = True
     for g in np.flatnonzero(many > 2):
         x, y = starts[g], starts[g + 1]
-        if y - x > 256:  # compared in blocks later on
+        if y - x > BLOCK:  # compared in blocks later on
             good[x:y] = True
             continue
         for i in range(x, y - 1):
-            ok, _ = _may_link(hist[i], hist[i + 1 : y], size[i], size[i + 1 : y], kind[i], kind[i + 1 : y])
+            ok = _near(hist[i], hist[i + 1 : y], size[i], size[i + 1 : y]) & ((kind[i] == 0) | (kind[i + 1 : y] == 0))
             if ok.any():
                 good[i] = True
                 good[i + 1 : y] |= ok
-    part = [pa.array(x[good]) for x in (key.view(np.int64), line, size, kind)]
-    return pa.table([*part, pa.array([h.tobytes() for h in hist[good]], pa.binary())], names=["token", "class", "n", "kind", "sketch"])
+    return pa.table([pa.array(x[good]) for x in (key.view(np.int64), line, kind)], names=["token", "class", "kind"])
 
 
 def _line_texts(bits: bytes):
@@ -280,37 +281,96 @@ def _wanted(entries: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _same(batches):
-    for batch in batches:
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([within(x, y, int(limit(min(len(x), len(y))))) for x, y in zip(a, b, strict=True)])], names=["a", "b", "link"])
+def _earlier(table: pa.Table) -> pa.Table:
+    """Of each block of a bucket, or pair of blocks: for each open line an earlier one, kept or open, that it is within
+    limit() edits of, if there is one (a: the line, b: the earlier one).
+
+    Lines are taken in order as if there were no other bucket. Of several earlier ones a line that is kept here is
+    named, for that settles most lines at once; else the first."""
+    token, pair, cls, doc, line, kind, part, cross, kept = (table.column(c).to_numpy() for c in ("token", "pair", "class", "doc_id", "line", "kind", "own", "cross", "kept"))
+    texts = table.column("line_text").to_pylist()
+    order = np.lexsort((line, doc, pair, token))
+    joint = "".join(texts)
+    length = np.array([len(t) for t in texts])
+    ends = np.cumsum(length)
+    hist = histograms(np.frombuffer(joint.encode("utf-32-le", "surrogatepass"), "<u4"), ends - length, ends)
+    cuts = np.append(np.flatnonzero(np.concatenate(([True], (token[order][1:] != token[order][:-1]) | (pair[order][1:] != pair[order][:-1])))), len(order))
+    a: list[int] = []
+    b: list[int] = []
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        at = order[x:y]
+        stays = np.zeros(len(at), bool)  # by what this block knows
+        for i, own in enumerate(at.tolist()):
+            before = at[:i]
+            if kept[own]:
+                stays[i] = True
+                continue
+            ok = _near(hist[own], hist[before], length[own], length[before]) & ((kind[own] == 0) | (kind[before] == 0))
+            if cross[own]:  # pairs of one block have their own group
+                ok &= part[before] != part[own]
+            near = np.flatnonzero(ok)
+            met = -1
+            for j in near[np.argsort(~stays[near], kind="stable")].tolist():
+                if within(texts[at[j]], texts[own], int(limit(min(length[own], length[at[j]])))):
+                    met = j
+                    break
+            if met < 0:
+                stays[i] = True
+            else:
+                a.append(int(cls[own]))
+                b.append(int(cls[at[met]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _settle(entries: DataFrame, scratch: Scratch, groups: int) -> DataFrame:
+    """(class, kept) of every class in ``entries`` (token, class, kind, doc_id, line, line_text).
+
+    Each round names for the open lines of each bucket an earlier kept or open line that they are within edits of. A
+    line without any is kept; one of whose are kept goes; one whose are all gone, or open, is asked again. The first
+    open line of each bucket always has none in it, so that every round settles some."""
+    spark = entries.sparkSession
+    done = spark.createDataFrame([], "class long, kept boolean")
+    while True:
+        state = entries.select("class").distinct().join(done, "class", "left")
+        live = entries.join(done, "class", "left").filter("kept is null or kept") if not done.isEmpty() else entries.withColumn("kept", F.lit(None).cast("boolean"))
+        sizes = live.groupBy("token").agg(F.count("*").alias("members"), F.max(F.col("kept").isNull()).alias("open")).filter("members > 1 and open")
+        live = live.join(sizes.select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "token").withColumn("own", F.expr("cast(pmod(xxhash64(class), blocks) as int)"))
+        ij = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("own")) * F.col("blocks") + F.greatest(j, F.col("own")))
+        live = live.withColumn("pair", F.explode(ij)).withColumn("cross", F.floor(F.col("pair") / F.col("blocks")) != F.col("pair") % F.col("blocks"))
+        live = live.withColumn("lane", F.pmod(F.xxhash64("token", "pair"), F.lit(groups))).withColumn("kept", F.coalesce("kept", F.lit(False)))
+        named = live.select("lane", "token", "pair", "class", "doc_id", "line", "kind", "own", "cross", "kept", "line_text").groupBy("lane").applyInArrow(_earlier, "a long, b long")
+        named = scratch.cut(named.distinct(), "named")
+        blocked = named.select(F.col("a").alias("class")).distinct().withColumn("blocked", F.lit(True))
+        kept = scratch.cut(state.join(blocked, "class", "left").filter("kept or kept is null and blocked is null").select("class", F.lit(True).alias("kept")), "kept")
+        gone = named.join(kept.select(F.col("class").alias("b")), "b", "left_semi").select(F.col("a").alias("class"), F.lit(False).alias("kept")).distinct()
+        done = scratch.cut(kept.unionByName(gone).unionByName(state.filter("not kept").select("class", "kept")), "settled")
+        if state.select("class").join(done, "class", "left_anti").isEmpty():
+            return done
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, line) of every line, counted from 0, that repeats an earlier one of the corpus or is within limit() edits of it.
+    """(doc_id, line) of every line, counted from 0, for which an earlier line that is kept is equal or within limit() edits.
 
-    Earlier is by (doc_id, line). Empty lines stay, and blank ones of fewer than K * SHARE characters. A row without a doc_id is left alone. Of
-    rows with the same doc_id the first place of a line counts as one place, so that none of them loses it there."""
+    Earlier is by (doc_id, line). So every line that goes is like one that stays, and lines that are only joined by a
+    chain of others stay. Empty lines stay, and blank ones of fewer than K * SHARE characters. A row without a doc_id is
+    left alone. Of rows with the same doc_id the first place of a line counts as one place, so that none of them loses
+    it there. An empty table gives an empty result; extra columns are ignored."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     places = scratch.cut(rows.mapInArrow(_occurrences, "class long, doc_id long, line int"), "places")
     wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions(), 8)
     dealt = rows.mapInArrow(_keys(wide), "range long, keys binary, refs binary, lines binary, lengths binary, hists binary")
-    entries = scratch.cut(dealt.groupBy("range").applyInArrow(_met, "token long, class long, n long, kind int, sketch binary"), "entries")
+    entries = scratch.cut(dealt.groupBy("range").applyInArrow(_met, "token long, class long, kind int"), "entries")
     bits = spark.sparkContext.broadcast(_wanted(entries))
     texts = rows.mapInArrow(lambda it: _line_texts(bits.value)(it), "class long, line_text string")
-    texts = scratch.cut(texts.join(entries.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]), "texts")
-    side = lambda s: texts.select(F.col("class").alias(s), F.col("line_text").alias(f"{s}_text"))
-    verify = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(_same, "a long, b long, link boolean")
-    payload = entries.dropDuplicates(["class"]).select("class", "n", "sketch", F.lit(None).cast("array<bigint>").alias("tokens"))
-    state, _ = linked(entries.select("token", "class", "kind"), payload, _may_link, verify, scratch, wide)
-    first = places.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-    grouped = first.join(state, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    heads = grouped.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("total")).filter("total > 1")
-    heads = grouped.join(heads, "component").select("class", "head")
-    lost = places.join(heads, "class").filter("not (doc_id = head.doc_id and line = head.line)")
-    return lost.select("doc_id", "line").distinct()
+    texts = texts.join(entries.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
+    first = scratch.cut(places.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("head"), F.count("*").alias("n")), "first")
+    full = entries.join(texts, "class").join(first.select("class", "head.doc_id", "head.line"), "class")
+    state = _settle(scratch.cut(full, "members"), scratch, wide)
+    verdict = first.join(state, "class", "left").withColumn("kept", F.coalesce("kept", F.lit(True))).filter("n > 1 or not kept")
+    lost = join_by_size(places, scratch.cut(verdict, "verdict"), "class", "n")
+    return lost.filter("not kept or not (doc_id = head.doc_id and line = head.line)").select("doc_id", "line").distinct()
 
 
 def _rewrite(batches):

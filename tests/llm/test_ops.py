@@ -348,36 +348,38 @@ def test_bit_parallel_distance():
         assert linededup.within(a, b) == (edit_distance(a, b) <= 2)
 
 
-def test_line_dedup(spark, odd, empty):
+def removed_by_brute_force(lines):
+    """(doc_id, line) of lines, taken in order, that are within their edits of an earlier line that was kept."""
+    kept, seen, want = [], {}, set()
+    for d, j, x in sorted(lines, key=lambda r: r[:2]):
+        if x not in seen:
+            seen[x] = any(abs(len(x) - len(y)) <= 2 and edit_distance(x, y) <= min(2, min(len(x), len(y)) // 8) for y in kept)
+            if not seen[x]:
+                kept.append(x)
+                continue
+        want.add((d, j))
+    return want
+
+
+def lines_of(docs):
+    return [(d, j, x) for d, t in docs if t for j, x in enumerate(t.split("\n")) if x.strip()]
+
+
+def test_line_dedup(spark, odd, empty, monkeypatch):
     rng = random.Random(7)
-    base = ["".join(rng.choice("abcdé fgh") for _ in range(rng.randrange(14, 50))) for _ in range(40)]
+    base = ["".join(rng.choice("abcdé fgh") for _ in range(rng.randrange(14, 50))) for _ in range(16)]
 
     def worn(x):
         y = list(x)
-        for _ in range(rng.randrange(4)):
+        for _ in range(rng.randrange(5)):
             y[rng.randrange(len(y))] = rng.choice(["", "x", "yé"])
         return "".join(y)
 
-    docs = [(i, None if i == 5 else "\n".join(worn(rng.choice(base)) for _ in range(rng.randrange(6)))) for i in range(80)]
-    lines = [(d, j, x) for d, t in docs if t for j, x in enumerate(t.split("\n")) if len(x) >= linededup.LEAST]
-    texts = sorted({x for _, _, x in lines})
-    parent = {x: x for x in texts}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, a in enumerate(texts):
-        for b in texts[:i]:
-            if abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2:
-                parent[find(a)] = find(b)
-    seen, want = set(), set()
-    for d, j, x in lines:
-        if find(x) in seen:
-            want.add((d, j))
-        seen.add(find(x))
+    docs = [(i, None if i == 5 else "\n".join(worn(rng.choice(base)) for _ in range(rng.randrange(6)))) for i in range(40)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = removed_by_brute_force(lines_of(docs))
+    assert {(r["doc_id"], r["line"]) for r in linededup.removed_lines(df).collect()} == want
+    monkeypatch.setattr(linededup, "BLOCK", 2)  # in this process only: dealt in small blocks, compared by them
     assert {(r["doc_id"], r["line"]) for r in linededup.removed_lines(df).collect()} == want
     out = linededup.dedup_lines(odd)
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in out.collect()}
@@ -385,28 +387,34 @@ def test_line_dedup(spark, odd, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_chains_of_lines_stay(spark):
+    """Lines of a series are not all like the first: each that goes is within its edits of one that stays."""
+    docs = [(0, "\n".join(f"The total for the year is {n}" for n in range(1000, 3200, 37))), (1, "\n".join(f"Chapter {n} of the collected works" for n in range(1, 130)))]
+    docs += [(2 + i, "".join("b" if k < i else "a" for k in range(40))) for i in range(30)]
+    lines = {(d, j): x for d, j, x in lines_of(docs)}
+    want = removed_by_brute_force(lines_of(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["line"]) for r in linededup.removed_lines(df).collect()}
+    assert got == want and len(lines) - len(got) > 20
+    assert all(any(edit_distance(lines[k], lines[o]) <= 2 for o in lines if o < k and o not in got) for k in got)
+
+
+def test_common_lines_are_joined_by_size(spark, monkeypatch):
+    from kilnmark.llm import _shared
+
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(9000)], "k long, v long")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least")).filter("k <> 5")
+    want = sorted(map(tuple, rows.join(table, "k").collect()))
+    monkeypatch.setattr(_shared, "SHARE", 1 / 4)
+    assert sorted(map(tuple, _shared.join_by_size(rows, table, "k", "n").collect())) == want
+
+
 def test_short_lines(spark):
     """Every line with a mark takes part: exactly below 8 characters, with one edit below 16, with two from there on."""
     rng = random.Random(11)
     texts = ["\n".join("".join(rng.choice("ab") for _ in range(rng.choice((0, 1, 3, 6, 7, 8, 9, 12, 15, 16, 17)))) for _ in range(4)) for _ in range(60)]
     texts += ["Les.\nyes\n \n\t\n你好。\nA short line", "Les.\nyet\n \n\t\n你好。\nA short lime", "Les.\nA shirt lima"]
-    lines = [(d, j, x) for d, t in enumerate(texts) for j, x in enumerate(t.split("\n")) if x.strip()]
-    group = {x: x for _, _, x in lines}
-
-    def find(x):
-        while group[x] != x:
-            x = group[x]
-        return x
-
-    for x, y in ((x, y) for x in list(group) for y in list(group) if x < y):
-        n = min(len(x), len(y))
-        if edit_distance(x, y) <= (2 if n >= 16 else 1 if n >= 8 else 0):
-            group[find(x)] = find(y)
-    seen, want = set(), set()
-    for d, j, x in lines:
-        if find(x) in seen:
-            want.add((d, j))
-        seen.add(find(x))
+    want = removed_by_brute_force(lines_of(enumerate(texts)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {(r["doc_id"], r["line"]) for r in linededup.removed_lines(df).collect()} == want
     assert {(61, 0), (61, 4), (61, 5), (62, 0)} <= want and not {(61, 1), (61, 2), (61, 3), (62, 1)} & want
