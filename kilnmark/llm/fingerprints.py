@@ -6,13 +6,15 @@ and estimate resemblance, containment and the number of distinct shingles.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hashes in a sketch, words in a shingle; ids in a block of the neighbour search, at least, and number of blocks, at most.
-K, WIDTH, BLOCK, BLOCKS = 128, 5, 512, 1 << 17
+from ._shared import Scratch
+
+#: Hashes in a sketch, words in a shingle; rows in a block of the neighbour search, about.
+K, WIDTH, BLOCK = 128, 5, 512
+#: Blocks are cut at quantiles of quantiles; so many of each at most, so FAN * FAN blocks.
+FAN = 256
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -72,32 +74,65 @@ def merge_sketches(df: DataFrame, key: str, sketch: str, k: int = K) -> DataFram
 
     Hashes are made distinct before the k least of each key are kept, first within each task; a key with any number
     of rows brings a task at most k hashes from each other task. Null sketches count as empty; a null key is a group."""
-    hashes = df.select(F.col(key).alias("key"), F.explode(sketch).alias("h")).groupBy("key", "h").agg(F.lit(1).alias("x"))
-    kept = hashes.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("h"))).filter(F.col("r") <= k)
-    return kept.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list("h")).alias(sketch))
+    hashes = df.select(F.col(key).alias("key"), F.explode_outer(sketch).alias("h")).groupBy("key", "h").agg(F.lit(1).alias("x"))
+    kept = hashes.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.asc_nulls_last("h")))).filter(F.col("r") <= k)
+    return kept.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list("h")).alias(sketch))  # a null h is left out
+
+
+def order_value(key: Column, tie: Column) -> Column:
+    """A double that never falls as (key, tie) rises: equal ones are told apart by ``tie`` (0 to 2**60) where a double can."""
+    exact = key.between(-(2**53), 2**53)
+    return key.cast("double") * F.lit(2.0**60) + F.when(exact, tie.cast("double")).otherwise(F.lit(0.0))
+
+
+def _above(bounds: Column, value: Column) -> Column:
+    """How many of the bounds are at or below the value."""
+    return F.size(F.filter(bounds, lambda b: b <= value))
+
+
+def blocks(keys: DataFrame) -> tuple[DataFrame, list[float]]:
+    """Block bounds from a written table of order values (v): (cut, bounds) rows, one for each of FAN first cuts, and
+    the bounds of these. Quantile sketches merge, so no task sees all values; both results have FAN entries a row at most."""
+    n = keys.count()
+    fan = max(1, min(FAN, round((n / BLOCK) ** 0.5)))
+    shares = [i / fan for i in range(1, fan)]
+    if not shares:
+        return keys.sparkSession.range(1).select(F.lit(0).alias("cut"), F.array().cast("array<double>").alias("bounds")), []
+    coarse = sorted(set(keys.agg(F.percentile_approx("v", shares, 8 * FAN).alias("b")).first()["b"]))
+    cut = _above(F.array(*map(F.lit, coarse)), F.col("v"))
+    fine = keys.groupBy(cut.alias("cut")).agg(F.array_distinct(F.percentile_approx("v", shares, 8 * FAN)).alias("bounds"))
+    return fine, coarse
 
 
-def next_texts(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
+def next_texts(docs: DataFrame, k: int = K, width: int = WIDTH, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` (doc_id, text) with sketch, next_text and next_sketch, those of the next row by ascending doc_id.
 
-    Ids are taken to be unique; rows of one id go by their text. A null id counts as -1. The last row's next is the
-    first; a sole row is its own next. Rows are dealt once, by blocks of neighbouring ids; only the first row of each of at
-    most BLOCKS blocks is looked up besides, for the last row of the block before."""
+    Ids are taken to be unique; rows of one id go by the hash of their text. A null id counts as -1. The last row's
+    next is the first; a sole row is its own next. Rows are dealt once, by blocks of neighbours cut at quantiles of
+    the ids as they are (and within an id that very many rows have, by the texts' hashes), so that ids of any spread
+    make blocks of like size; only the first row of each block is looked up besides, for the last row of the one before."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    key = F.coalesce("doc_id", F.lit(-1))
-    ends = docs.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    lo, hi = ends["lo"] or 0, ends["hi"] or 0
-    span = max(BLOCK, -(-(hi - lo + 1) // BLOCKS))
-    docs = docs.withColumn("block", F.floor((key - lo) / span))
-    w = Window.orderBy("block")  # BLOCKS rows at most, as are the tables that follow from it
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-1).cast("long"))).withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 4))
+    docs = docs.withColumn("v", order_value(F.col("key"), F.col("tie")))
+    scratch = scratch or Scratch(docs.sparkSession, "neighbours")
+    keys = scratch.cut(docs.select("key", "tie", "v"), "keys")
+    fine, coarse = blocks(keys)
+    cut = _above(F.array(*map(F.lit, coarse)), F.col("v")) if coarse else F.lit(0)
+    fine = F.broadcast(scratch.cut(fine, "bounds"))  # FAN rows of FAN bounds
+
+    def placed(df):
+        return df.withColumn("cut", cut).join(fine, "cut").withColumn("block", F.col("cut") * FAN + _above(F.col("bounds"), F.col("v"))).drop("cut", "bounds", "v")
+
+    docs = placed(docs)
+    w = Window.orderBy("block")  # FAN * FAN rows at most, as are the tables that follow from it
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = docs.groupBy("block").agg(F.min(key).alias("head")).select("block", F.coalesce(F.lead("head").over(w), F.min("head").over(whole)).alias("after"))
-    first = docs.withColumn("after", key).join(F.broadcast(heads.select("after")), "after", "left_semi")
-    first = first.withColumn("r", F.row_number().over(Window.partitionBy("after").orderBy("text"))).filter("r = 1").select("after", "text")
+    heads = placed(keys).groupBy("block").agg(F.min(F.struct("key", "tie")).alias("head"))
+    heads = scratch.cut(heads.select("block", F.coalesce(F.lead("head").over(w), F.min("head").over(whole)).alias("after")), "heads")
+    first = docs.join(F.broadcast(heads.select(F.col("after.key").alias("key"), F.col("after.tie").alias("tie"))), ["key", "tie"], "left_semi").groupBy("key", "tie").agg(F.min("text").alias("text"))
     first = with_sketch(first, "text", "sketch", k, width)
-    wraps = heads.join(first, "after").select("block", F.struct("text", "sketch").alias("wraps"))
+    wraps = heads.select("block", "after.key", "after.tie").join(first, ["key", "tie"]).select("block", F.struct("text", "sketch").alias("wraps"))
     inner = with_sketch(docs, "text", "sketch", k, width)
-    inner = inner.withColumn("follows", F.lead(F.struct("text", "sketch")).over(Window.partitionBy("block").orderBy("doc_id", "text")))
+    inner = inner.withColumn("follows", F.lead(F.struct("text", "sketch")).over(Window.partitionBy("block").orderBy("key", "tie", "text")))
     full = inner.join(wraps, "block", "left").withColumn("follows", F.coalesce("follows", "wraps"))
     return full.select("doc_id", "text", "sketch", F.col("follows.text").alias("next_text"), F.col("follows.sketch").alias("next_sketch"))
 

@@ -47,16 +47,47 @@ def shingles(text, k):
 # --- 1
 
 
+def bottom(spark, texts, k=fingerprints.K):
+    """Bottom-k sketches by plain Python over the engine's hash of each word and shingle."""
+    words = {t: re.findall(r"[^\x20\x09-\x0D]+", t.lower()) for t in texts}
+    every = sorted({w for ws in words.values() for w in ws})
+    rows = spark.createDataFrame([(w,) for w in every], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    of = {r["w"]: r["h"] for r in rows}
+    grams = {}
+    for t, ws in words.items():
+        h = [of[w] for w in ws]
+        grams[t] = [tuple(h[i : i + 5]) for i in range(len(h) - 4)] if len(h) >= 5 else [tuple(h)] if h else []
+    flat = sorted({g for gs in grams.values() for g in gs})
+    whole = [g for g in flat if len(g) == 5]
+    of = {tuple(r["g"]): r["h"] for r in spark.createDataFrame([(list(g),) for g in whole], "g array<bigint>").select("g", F.xxhash64(*[F.col("g")[i] for i in range(5)]).alias("h")).collect()}
+    short = [g for g in flat if len(g) < 5]
+    if short:
+        of |= {tuple(r["g"]): r["h"] for r in spark.createDataFrame([(list(g),) for g in short], "g array<bigint>").select("g", F.xxhash64("g").alias("h")).collect()}
+    return {t: sorted({of[g] for g in gs})[:k] for t, gs in grams.items()}
+
+
+def likeness(a, b, k=fingerprints.K):
+    union = sorted({*a, *b})[:k]
+    return len({*union} & {*a} & {*b}) / len(union) if union else 1.0
+
+
 def test_fingerprints(spark, sf, odd, empty):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r["doc_id"]: r for r in queries.op1_fingerprints(spark, sf).collect()}
     order = sorted(texts)
     assert sorted(got) == order
+    edits = {}
     for i, k in enumerate(order):
         t, nxt = texts[k], texts[order[(i + 1) % len(order)]]
         q = len(t) // 4
-        edited = t[: len(t) - q] + nxt[:q]
+        edits[k] = t[: len(t) - q] + nxt[:q]
+    sketches = bottom(spark, {*texts.values(), *edits.values()})
+    digits = lambda s: "".join(f"{h % 2**64:016x}" for h in s)
+    for i, k in enumerate(order):
+        t, nxt, edited = texts[k], texts[order[(i + 1) % len(order)]], edits[k]
         assert got[k]["n_chars"] == len(t) and got[k]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[k]["fingerprint"] == digits(sketches[t]) and got[k]["edited_fingerprint"] == digits(sketches[edited])
+        assert got[k]["near_edited"] == likeness(sketches[t], sketches[edited]) and got[k]["near_next"] == likeness(sketches[t], sketches[nxt])
         a, b = shingles(t, 5), shingles(edited, 5)
         assert abs(got[k]["near_edited"] - len(a & b) / len(a | b)) < 0.2
     out = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(odd).collect()}
@@ -65,6 +96,53 @@ def test_fingerprints(spark, sf, odd, empty):
     assert fingerprints.edited_fingerprints(odd).count() == 11 and fingerprints.edited_fingerprints(empty).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["hashed", "outlier", "edges", "nulls", "one", "wide"])
+def test_next_documents_of_any_ids(spark, kind, monkeypatch):
+    """Hashed, far-off, extreme and null ids: every row has its next one, in blocks of like size."""
+    rng = random.Random(5)
+    n = 1 if kind == "one" else 600
+    ids = {
+        "hashed": [rng.randrange(-(2**63), 2**63) for _ in range(n)], "outlier": [*range(n - 2), 2**60, -(2**61)],
+        "edges": [-(2**63), 2**63 - 1, -1, 0, *range(1, n - 3)], "nulls": [None] * (n // 3) + list(range(n - n // 3)), "one": [7],
+        "wide": [2**62 + i for i in range(n)],
+    }[kind]
+    rows = [(i, f"text number {j} of some words {rng.random()}") for j, i in enumerate(ids)]
+    monkeypatch.setattr(fingerprints, "BLOCK", 8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprints.next_texts(df).collect()
+    follow = {r["text"]: r["next_text"] for r in got}
+    assert len(got) == n == len(follow) and sorted(follow.values()) == sorted(follow)
+    known = sorted(((-1 if i is None else i), t) for i, t in rows)
+    if kind != "nulls":
+        assert all(follow[t] == known[(j + 1) % n][1] for j, (_, t) in enumerate(known))
+    else:  # rows of one id go by their hashes, before all other ids
+        nulls = {t for i, t in known if i < 0}
+        assert len({follow[t] for t in nulls} & nulls) == len(nulls) - 1
+    keys = df.select(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("key"), F.shiftrightunsigned(F.xxhash64("text"), 4).alias("tie"))
+    fine, coarse = fingerprints.blocks(keys.select(fingerprints.order_value(F.col("key"), F.col("tie")).alias("v")))
+    if kind != "one":
+        bounds = {r["cut"]: r["bounds"] for r in fine.collect()}
+        vs = [r["v"] for r in keys.select(fingerprints.order_value(F.col("key"), F.col("tie")).alias("v")).collect()]
+        sizes = {}
+        for v in vs:
+            c = sum(b <= v for b in coarse)
+            at = c, sum(b <= v for b in bounds[c])
+            sizes[at] = sizes.get(at, 0) + 1
+        assert max(sizes.values()) < (n / 4 if kind != "wide" else n + 1)
+
+
+def test_containment_and_lost_keys(spark):
+    texts = {"a": " ".join(f"w{i}" for i in range(90)), "b": " ".join(f"w{i}" for i in range(60)), "c": "", "d": None, "e": "v w x"}
+    df = fingerprints.with_sketch(spark.createDataFrame(list(texts.items()), "k string, t string"), "t", "s")
+    both = df.alias("x").crossJoin(df.alias("y")).select("x.k", F.col("y.k").alias("o"), fingerprints.containment(F.col("x.s"), F.col("y.s")).alias("c"))
+    for r in both.collect():
+        a, b = shingles(texts[r["k"]], 5), shingles(texts[r["o"]], 5)
+        assert r["c"] == pytest.approx(len(a & b) / len(a) if a else 1.0)
+    keys = df.select(F.when(F.col("k") == "e", None).otherwise(F.col("k")).alias("k"), F.when(F.col("k") != "d", F.col("s")).alias("s"))
+    merged = {r["k"]: r["s"] for r in fingerprints.merge_sketches(keys, "k", "s").collect()}
+    assert set(merged) == {"a", "b", "c", "d", None} and merged["c"] == merged["d"] == [] and len(merged["a"]) == 86
+
+
 def test_sketches_merge(spark):
     parts = spark.createDataFrame([("a", " ".join(f"w{i}" for i in range(lo, lo + 600))) for lo in (0, 300, 300)], "k string, text string")
     merged = fingerprints.merge_sketches(fingerprints.with_sketch(parts, "text", "s"), "k", "s").first()["s"]
@@ -292,6 +370,29 @@ def test_jaccard(spark, width, t):
     sets = {i: shingles(x, width) for i, x in docs.items()}
     want = components_of(sets, t)
     assert got == {i: (len(sets[i]), want[i]) for i in docs}
+    if width == 5:  # all links, between classes and counted by document
+        near = lambda i, j: len(sets[i] & sets[j]) * t.denominator >= t.numerator * len(sets[i] | sets[j])
+        counted = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.jaccard_components(df, width, t, count_links=True).collect()}
+        assert counted == {i: (want[i], sum(near(i, j) for j in docs if j != i)) for i in docs}
+        members, links = jaccard.jaccard_classes(df, width, t, every=True)
+        of = {r["doc_id"]: r["class"] for r in members.collect()}
+        pairs = {(min(of[i], of[j]), max(of[i], of[j])) for i in docs for j in docs if of[i] != of[j] and near(i, j)}
+        assert sorted(tuple(r) for r in links.collect()) == sorted(pairs)
+
+
+def test_sketches_bound_the_difference():
+    """Parity sketches of any two lengths never show more than the symmetric difference, and grow with the sets."""
+    from kilnmark.llm._links import _Sketches
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 30_000).astype(np.uint64)
+    sets = [base[:300], base[:520], base[100:900], base[:30_000], base[2000:30_000], rng.integers(0, 2**63, 30_000).astype(np.uint64)]
+    raw = [jaccard.sketch(s, len(s)).tobytes() for s in sets]
+    found = _Sketches(raw)
+    for i, a in enumerate(sets):
+        for j, d in enumerate(found.differ(i), i + 1):
+            assert d <= len(np.setxor1d(a, sets[j]))
+    assert found.differ(3)[1] > 0.43 * 30_000 and len(raw[3]) > len(raw[0])
 
 
 def test_jaccard_odd(spark, odd, empty):
@@ -299,7 +400,7 @@ def test_jaccard_odd(spark, odd, empty):
     assert len(rows) == 11
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
     assert got[1] == (0, 1) and got[2] == (0, 2) and got[7][1] == 6 and got[8][1] == 6
-    assert jaccard.jaccard_components(empty).count() == 0
+    assert jaccard.jaccard_components(empty).count() == 0 and jaccard.jaccard_components(empty, count_links=True).count() == 0
 
 
 def test_jaccard_sql(spark, sf):
