@@ -1,13 +1,14 @@
-"""Components of verified links between classes that meet in buckets, without emitting all pairs of a bucket.
+"""Verified links between classes that meet in buckets, and their components, without emitting all pairs of a bucket.
 
-Each bucket's members are compared in blocks of bounded size by fixed-length sketches that can rule a link out. At
-first a block emits a spanning forest of what they can't rule out; these pairs are verified and merge components. Then
-only pairs between different components are left, which are verified until there is none: nothing is lost.
+Each bucket's members are compared in blocks of bounded size by sketches that can rule a link out. At first a block
+emits a spanning forest of what they can't rule out; these pairs are verified and merge components. Then only pairs
+between different components are left, and all of these that the sketches can't rule out are verified: nothing is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -18,37 +19,74 @@ from ._shared import Scratch
 from .components import components
 
 #: Members of a block.
-BLOCK = 1024
-
-
-def _pairs(may_link: Callable, first: bool):
+BLOCK = 512
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A parity sketch of fewer words: bit b of it is the parity of the bits that are b modulo its length."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
+class _Sketches:
+    """Parity sketches of a block's members, which are longer for larger sets; two are compared at the shorter length."""
+
+    def __init__(self, raw: list[bytes]):
+        parts = [np.frombuffer(x, np.uint64) for x in raw]
+        self.words = np.array([len(p) for p in parts])
+        self.levels, self.at = [], []
+        for w in np.unique(self.words).tolist():
+            has = np.flatnonzero(self.words >= w)
+            at = np.full(len(parts), -1)
+            at[has] = np.arange(len(has))
+            self.levels.append((w, np.stack([folded(parts[i], w) for i in has.tolist()])))
+            self.at.append(at)
+
+    def differ(self, i: int) -> np.ndarray:
+        """Bits in which member i differs from each later one."""
+        rest = np.arange(i + 1, len(self.words))
+        out = np.zeros(len(rest), np.int64)
+        for (w, bits), at in zip(self.levels, self.at, strict=True):
+            if w > self.words[i]:
+                break
+            now = np.flatnonzero(self.words[rest] >= w if w == self.words[i] else self.words[rest] == w)
+            if len(now):
+                out[now] = np.bitwise_count(bits[at[rest[now]]] ^ bits[at[i]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _pairs(t: Fraction, forest: bool, every: bool):
     """For the buckets (token, block pair) of one group: candidate pairs that join present components.
 
-    In the first round a spanning forest of each block; then what the sketches can't tell and was not verified yet."""
+    A pair must have sizes within t, sketches that differ by less than a link allows, and common bits in the maps of
+    its prefixes under each further order. ``forest``: a spanning forest of each block; else all such pairs, each in
+    the bucket of the first prefix token that both have. ``every``: pairs within components too."""
 
     def run(table: pa.Table) -> pa.Table:
-        token, blk, cls, comp, n, kind, part, cross = (table.column(c).to_numpy() for c in ("token", "pair", "class", "component", "n", "kind", "own", "cross"))
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(cls), -1)
-        bits = bits.view(np.uint64) if bits.shape[1] % 8 == 0 else bits
-        failed = table.column("failed").to_pylist()
-        heads = [set(h) if h is not None else None for h in table.column("tokens").to_pylist()]
+        token, blk, cls, comp, n, part, cross = (table.column(c).to_numpy() for c in ("token", "pair", "class", "component", "n", "own", "cross"))
+        sketches, maps = table.column("sketch").to_pylist(), table.column("orders").to_pylist()
+        tokens = table.column("tokens")
         order = np.lexsort((cls, blk, token))
-        token, blk = token[order], blk[order]
-        starts = np.append(np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (blk[1:] != blk[:-1])))), len(token))
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], (token[order][1:] != token[order][:-1]) | (blk[order][1:] != blk[order][:-1])))), len(order))
         ra: list[int] = []
         rb: list[int] = []
-        for x, y in zip(starts[:-1], starts[1:], strict=True):
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             at = order[x:y]
             c = comp[at]
-            if y - x < 2 or (c == c[0]).all():
+            if y - x < 2 or not every and (c == c[0]).all():
                 continue
-            lows, highs, diffs = [], [], []
+            sketch = _Sketches([sketches[i] for i in at.tolist()])
+            orders = np.frombuffer(b"".join(maps[i] for i in at.tolist()), np.uint64).reshape(len(at), _ORDERS, -1)
+            size, lows, highs, diffs = n[at], [], [], []
             for i in range(len(at) - 1):
-                rest = at[i + 1 :]
-                ok, diff = may_link(bits[at[i]], bits[rest], n[at[i]], n[rest], kind[at[i]], kind[rest])
-                ok &= c[i + 1 :] != c[i]
+                rest = slice(i + 1, len(at))
+                diff = sketch.differ(i)
+                ok = diff * (t.denominator + t.numerator) <= (t.denominator - t.numerator) * (size[i] + size[rest])
+                ok &= np.minimum(size[i], size[rest]) * t.denominator >= t.numerator * np.maximum(size[i], size[rest])
+                ok &= (orders[rest] & orders[i]).any(axis=2).all(axis=1)
+                if not every:
+                    ok &= c[rest] != c[i]
                 if cross[at[i]]:  # pairs of one block have their own group
-                    ok &= part[rest] != part[at[i]]
+                    ok &= part[at[rest]] != part[at[i]]
                 j = np.flatnonzero(ok)
                 if len(j):
                     lows.append(np.full(len(j), i))
@@ -57,20 +95,14 @@ def _pairs(may_link: Callable, first: bool):
             if not lows:
                 continue
             low, high, diff = np.concatenate(lows), np.concatenate(highs), np.concatenate(diffs)
-            rank = np.argsort(diff, kind="stable")
-            low, high = low[rank], high[rank]
-            if not first:
-                one, two = cls[at[low]], cls[at[high]]
-                fresh = np.ones(len(low), bool)
-                for i, f in ((i, np.array(f)) for i in range(len(at)) if (f := failed[at[i]])):
-                    fresh[(low == i) & np.isin(two, f)] = False
-                    fresh[(high == i) & np.isin(one, f)] = False
-                own = int(token[x])
-                for i, j in zip(at[low[fresh]].tolist(), at[high[fresh]].tolist(), strict=True):
-                    if heads[i] is None or min(heads[i] & heads[j]) == own:  # in one bucket only
+            if not forest:
+                own, heads = int(token[at[0]]), {i: set(tokens[i].as_py()) for i in {*at[low].tolist(), *at[high].tolist()}}
+                for i, j in zip(at[low].tolist(), at[high].tolist(), strict=True):
+                    if min(heads[i] & heads[j]) == own:  # in one bucket only
                         ra.append(int(cls[i]))
                         rb.append(int(cls[j]))
                 continue
+            rank = np.argsort(diff, kind="stable")
             root = {k: k for k in c.tolist()}
 
             def find(k, root=root):
@@ -80,7 +112,7 @@ def _pairs(may_link: Callable, first: bool):
                 return k
 
             parts = len(root)
-            for i, j in zip(low.tolist(), high.tolist(), strict=True):
+            for i, j in zip(low[rank].tolist(), high[rank].tolist(), strict=True):
                 a, z = find(int(c[i])), find(int(c[j]))
                 if a != z:
                     root[a] = z
@@ -94,55 +126,42 @@ def _pairs(may_link: Callable, first: bool):
     return run
 
 
-def _candidates(entries: DataFrame, payload: DataFrame, state: DataFrame, failed: DataFrame | None, may_link: Callable, first: bool, groups: int) -> DataFrame:
+#: Orders beside the one whose prefix tokens are the buckets.
+_ORDERS = 2
+
+
+def _candidates(entries: DataFrame, payload: DataFrame, state: DataFrame, t: Fraction, groups: int, forest: bool, every: bool) -> DataFrame:
     rows = entries.join(state, "class")
     # buckets with one component are done; only the rows of others are joined with what comparing needs
     sizes = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     sizes = sizes.filter("lo <> hi").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(sizes, "token").withColumn("own", F.expr("cast(pmod(xxhash64(class), blocks) as int)"))
-    if first:
+    if forest:
         payload = payload.withColumn("tokens", F.lit(None).cast("array<bigint>"))
     rows = rows.join(payload, "class")
-    if failed is not None:
-        rows = rows.join(failed, "class", "left")
-    else:
-        rows = rows.withColumn("failed", F.lit(None).cast("array<bigint>"))
     ij = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("own")) * F.col("blocks") + F.greatest(j, F.col("own")))
     rows = rows.withColumn("pair", F.explode(ij))
     rows = rows.withColumn("cross", F.floor(F.col("pair") / F.col("blocks")) != F.col("pair") % F.col("blocks"))
     rows = rows.withColumn("lane", F.pmod(F.xxhash64("token", "pair"), F.lit(groups)))
-    rows = rows.select("lane", "token", "pair", "class", "component", "n", "kind", "sketch", "failed", "own", "cross", "tokens")
-    return rows.groupBy("lane").applyInArrow(_pairs(may_link, first), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = rows.select("lane", "token", "pair", "class", "component", "n", "sketch", "orders", "own", "cross", "tokens")
+    return rows.groupBy("lane").applyInArrow(_pairs(t, forest, every), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def linked(entries: DataFrame, payload: DataFrame, may_link: Callable, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, groups: int) -> tuple[DataFrame, DataFrame]:
-    """(state, links): class and component of every class in ``entries``, and the verified links that span them.
+def linked(entries: DataFrame, payload: DataFrame, t: Fraction, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, groups: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(state, links): class and component of every class in ``entries``, and the verified links that span them, or
+    with ``every`` all links between classes.
 
-    ``entries``: token (bucket), class, kind (int). ``payload``, one row a class: class, n, sketch (binary, one
-    length), tokens (all buckets in which it can be a pair's member, or null: several buckets may then emit a pair).
-    ``may_link(sketch, sketches, n, ns, kind, kinds)``: (mask, order of trial). ``verify``: pairs (a, b) to (a, b, link)."""
+    ``entries``: token (bucket), class. ``payload``, one row a class: class, n, sketch, orders (maps of the prefixes
+    under the further orders), tokens (all its buckets). ``verify``: pairs (a, b) to (a, b, link)."""
     state = scratch.cut(entries.select("class", F.col("class").alias("component")).distinct(), "state")
-    links = failed = None
-    first = True
-    while True:
-        tested = scratch.cut(verify(_candidates(entries, payload, state, failed, may_link, first, groups)), "tested")
-        got = tested.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("link").cast("int")), F.lit(0)).alias("k")).first()
-        if not got["n"]:
-            break
-        new = tested.filter("link").select("a", "b")
-        links = new if links is None else scratch.cut(links.unionByName(new), "links")
-        if got["k"]:
+    links = None
+    for forest in (False,) if every else (True, False):
+        tested = verify(_candidates(entries, payload, state, t, groups, forest, every))
+        new = scratch.cut(tested.filter("link").select("a", "b"), "links")
+        links = new if links is None else links.unionByName(new)
+        if not new.isEmpty():
             of = lambda c: state.select(F.col("class").alias(c), F.col("component").alias(f"{c}_of"))
             joined = new.join(of("a"), "a").join(of("b"), "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b"))
             found = components(joined, scratch).select(F.col("id").alias("component"), F.col("component").alias("to"))
             state = scratch.cut(state.join(found, "component", "left").select("class", F.coalesce("to", "component").alias("component")), "state")
-        if got["k"] < got["n"]:
-            lost = tested.filter("not link")
-            both = lost.select(F.col("a").alias("class"), F.col("b").alias("o")).unionByName(lost.select(F.col("b").alias("class"), F.col("a").alias("o")))
-            if failed is not None:
-                both = both.unionByName(failed.select("class", F.explode("failed").alias("o")))
-            failed = scratch.cut(both.groupBy("class").agg(F.collect_set("o").alias("failed")), "failed")
-        first = False
-    if links is None:
-        links = entries.sparkSession.createDataFrame([], "a long, b long")
     return state, links

@@ -51,17 +51,16 @@ class Scratch:
 SHARE = 1 / 2048
 
 
-def join_by_size(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
-    """``rows`` joined on ``key`` with ``table``, which has one row a key and how many of ``rows`` have it.
+def join_by_size(rows: DataFrame, table: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) on ``key`` with ``table``, which has one row a key and how many of ``rows`` have it.
 
     Keys of more than a SHARE of all these rows, 1 / SHARE keys at most, are broadcast, so that no task gets all rows
-    of a common key; the others are shuffled. Rows without a key in ``table`` go. Both sides are read twice: they
-    should be written tables."""
+    of a common key; the others are shuffled. Both sides are read twice: they should be written tables."""
     total = table.agg(F.sum(size).alias("n")).first()["n"] or 0
     least = max(1000.0, total * SHARE)
-    heavy = F.broadcast(table.filter(F.col(size) > least))
-    light = rows.join(F.broadcast(table.filter(F.col(size) > least).select(key)), key, "left_anti").join(table.filter(F.col(size) <= least), key)
-    return rows.join(heavy, key).unionByName(light)
+    heavy, light = table.filter(F.col(size) > least), table.filter(F.col(size) <= least)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
+    return rows.join(F.broadcast(heavy), key).unionByName(rest)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """N-gram Jaccard join with multiple-global-order prefix filters.
 
 Every document is its set of distinct word shingles. Two sets with Jaccard likeness of at least t share a token
-within their prefixes of ``n - ceil(t*n) + 1`` tokens under *any* global token order. Three orders are used, each
-with the rarest tokens first; a candidate pair must share a prefix token under all three before it is verified.
+within their prefixes of ``n - ceil(t*n) + 1`` tokens under *any* global token order. Three orders are used: exact
+rarity, rarity by powers of two, and one that has nothing to do with rarity. The prefix tokens of the first are the
+buckets; a pair that meets there must have common bits in the maps of its prefixes under the other two, and a common
+token under all three, before it is verified.
 
 How the plan scales:
 
@@ -15,9 +17,10 @@ How the plan scales:
   holds only such tokens are done, and overlaps of the others are exact on the shared tokens alone.
 * Within the bucket of a prefix token, pairs are compared in blocks of bounded size by bit-parity sketches: the
   number of differing bits never exceeds the symmetric difference, so a pair that differs in too many can't link.
+  Sketches grow with the sets, so that they tell long texts apart as well as short ones.
   What a block emits at first is a spanning forest over the classes, not its pairs; these are verified exactly and
-  links merge components. Then only pairs between different components are left, and of those the ones whose
-  sketches can't tell are verified, until none is left: components are those of all links.
+  links merge components. Then only pairs between different components are left, and of those all whose sketches can't
+  tell are verified: components are those of all links.
 """
 
 from __future__ import annotations
@@ -32,11 +35,11 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._links import linked
-from ._shared import Scratch
+from ._shared import Scratch, join_by_size
 from ._text import U, mix
 
-#: Fixed parameters: buckets of the count table, bits of a parity sketch.
-LOG_BUCKETS, SKETCH_BITS = 16, 4096
+#: Fixed parameters: buckets of the count table, bits of the shortest parity sketch and of a map of prefix tokens.
+LOG_BUCKETS, SKETCH_BITS, MAP_BITS = 16, 1024, 512
 SLOTS = 16
 _ORDERS = 3
 
@@ -107,7 +110,7 @@ def _deal(width: int, ranges: int, blocks: int, common: np.ndarray):
         out = []
         for r in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[r], cuts[r + 1]
-            out.append((int(key(r)), toks[a:b].tobytes(), classes(a, b), each[a:b].tobytes()))
+            out.append((int(key(r)), toks[a:b].tobytes(), classes(r, a, b), each[a:b].tobytes()))
         return out
 
     def run(batches):
@@ -130,12 +133,15 @@ def _deal(width: int, ranges: int, blocks: int, common: np.ndarray):
                 cls = np.repeat(own, sizes)
                 hot = common[(toks >> U(64 - LOG_BUCKETS)).astype(np.int64)]
                 out = []
-                rest, rest_cls = toks[~hot], np.repeat(np.arange(len(own), dtype="<u2" if len(own) < 1 << 16 else "<u4"), sizes)[~hot]
+                rest, rest_cls = toks[~hot], np.repeat(np.arange(len(own)), sizes)[~hot]
                 order = np.argsort(rest, kind="stable")
                 rest, rest_cls = rest[order], rest_cls[order]
-                names = own.tobytes()
-                place = ((rest >> U(32)) * U(ranges)) >> U(32)
-                out += rows_of(lambda r: r, rest, lambda a, b: names, rest_cls, np.searchsorted(place, np.arange(ranges + 1, dtype=U)))
+                place = (((rest >> U(32)) * U(ranges)) >> U(32)).astype(np.int64)
+                # a row names only the classes that it refers to
+                used, back = np.unique((place << 32) | rest_cls, return_inverse=True)
+                first = np.searchsorted(used >> 32, np.arange(ranges + 1))
+                names, back = own[used & 0xFFFFFFFF], (back - first[place]).astype("<u2" if len(own) < 1 << 16 else "<u4")
+                out += rows_of(lambda r: r, rest, lambda r, a, b: names[first[r] : first[r + 1]].tobytes(), back, np.searchsorted(place, np.arange(ranges + 1)))
                 # the headers (token 0 with n) and the common tokens, by class
                 to = np.concatenate((np.zeros(len(own), U), toks[hot]))
                 tc = np.concatenate((own, cls[hot]))
@@ -143,7 +149,7 @@ def _deal(width: int, ranges: int, blocks: int, common: np.ndarray):
                 block = (tc % U(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
                 to, tc, tn = to[order], tc[order], tn[order]
-                out += rows_of(lambda r: -1 - r, to, lambda a, b, tc=tc: tc[a:b].tobytes(), tn, np.searchsorted(block[order], np.arange(blocks + 1)))
+                out += rows_of(lambda r: -1 - r, to, lambda r, a, b, tc=tc: tc[a:b].tobytes(), tn, np.searchsorted(block[order], np.arange(blocks + 1)))
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["key", "tokens", "classes", "ns"])
                 del out, cols, sets, toks, cls, rest, rest_cls, order, to, tc, tn
@@ -193,10 +199,16 @@ def _shared(blocks: int):
     return run
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the tokens that fall on each bit."""
-    bits = np.bincount((mix(tokens) >> U(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(bool))
+def sketch(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Parity of the tokens that fall on each bit; two bits or more for each of a set's n tokens."""
+    bits = max(SKETCH_BITS, 1 << (2 * n - 1).bit_length())
+    odd = np.bincount((mix(tokens) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool))
+
+
+def token_map(tokens: np.ndarray) -> np.ndarray:
+    """The bits that some token falls on: sets with a token in common have a bit in common."""
+    return np.packbits(np.bincount((mix(tokens + U(1)) & U(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) > 0)
 
 
 def prefixes(tokens: np.ndarray, df: np.ndarray, n: int, t: Fraction) -> list[np.ndarray]:
@@ -205,7 +217,7 @@ def prefixes(tokens: np.ndarray, df: np.ndarray, n: int, t: Fraction) -> list[np
     if p <= 0:
         return []
     coarse = np.log2(np.maximum(df, 1)).astype(np.int64)
-    ranks = (df, coarse, coarse // 2)
+    ranks = (df, coarse, np.zeros(len(df), np.int64))
     out = []
     for i, rank in enumerate(ranks):
         out.append(tokens[np.lexsort((mix(tokens + U(i * 0x51ED27)), rank))[:p]])
@@ -229,22 +241,11 @@ def _classes(t: Fraction, counts: np.ndarray):
             df = np.where(ns[a + 1 : b] < 0, -ns[a + 1 : b], counts[(tk >> U(64 - LOG_BUCKETS)).astype(np.int64)])
             found = prefixes(tk, df, n, t)
             if found:
-                rows.append((int(cls[a].view(np.int64)), n, tk.view(np.int64), *(np.sort(x).view(np.int64) for x in found), sketch(tk).tobytes()))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * (4 + _ORDERS)
+                rows.append((int(cls[a].view(np.int64)), n, tk.view(np.int64), *(np.sort(x).view(np.int64) for x in found), sketch(tk, n).tobytes(), b"".join(token_map(x).tobytes() for x in found[1:])))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * (5 + _ORDERS)
         lists = pa.list_(pa.int64())
-        kinds = [pa.int64(), pa.int64(), lists, *[lists] * _ORDERS, pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["class", "n", "tokens", *(f"prefix{i}" for i in range(_ORDERS)), "sketch"])
-
-    return run
-
-
-def _may_link(t: Fraction):
-    """|A ^ B| <= (1 - t) / (1 + t) * (|A| + |B|), of which a parity sketch shows a part; and sizes within t."""
-
-    def run(bits, others, n, ns, kind, kinds):
-        diff = np.bitwise_count(others ^ bits).sum(axis=1, dtype=np.int64)
-        ok = diff * (t.denominator + t.numerator) <= (t.denominator - t.numerator) * (n + ns)
-        return ok & (np.minimum(n, ns) * t.denominator >= t.numerator * np.maximum(n, ns)), diff
+        kinds = [pa.int64(), pa.int64(), lists, *[lists] * _ORDERS, pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["class", "n", "tokens", *(f"prefix{i}" for i in range(_ORDERS)), "sketch", "orders"])
 
     return run
 
@@ -261,15 +262,9 @@ def _verify(pairs: DataFrame, cand: DataFrame, t: Fraction) -> DataFrame:
     return met.select("a", "b", link.alias("link"))
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """Self-join of ``docs`` (doc_id, text) on the Jaccard likeness of word shingles.
-
-    Returns (members, links): members has a row for each document: doc_id, class, n (set size), component (a class
-    key; null for an empty set); links has the verified links between classes that span the components (a, b).
-    A null or empty text has no set and no links; equal sets are one class; rows repeat as they do in the input; a
-    null doc_id is carried along. An empty table gives empty results."""
+def _joined(docs: DataFrame, width: int, threshold: Fraction, scratch: Scratch, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members (doc_id, class, n), classes with words (class, least doc_id, size in documents, component) and links."""
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "jaccard")
     t = Fraction(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scan = scratch.cut(docs.mapInArrow(_scan(width), "slot int, doc_id long, class long, n long, counts binary"), "scan")
@@ -280,18 +275,41 @@ def jaccard_classes(docs: DataFrame, width: int = 5, threshold: Fraction = Fract
     wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * tasks, 8)
     dealt = docs.mapInArrow(_deal(width, wide, wide, common), "key long, tokens binary, classes binary, ns binary")
     returned = dealt.groupBy("key").applyInArrow(_shared(wide), "block long, tokens binary, classes binary, ns binary")
-    schema = "class long, n long, tokens array<long>, " + ", ".join(f"prefix{i} array<long>" for i in range(_ORDERS)) + ", sketch binary"
+    schema = "class long, n long, tokens array<long>, " + ", ".join(f"prefix{i} array<long>" for i in range(_ORDERS)) + ", sketch binary, orders binary"
     cand = scratch.cut(returned.groupBy("block").applyInArrow(_classes(t, counts), schema), "classes")
-    entries = cand.select("class", F.lit(0).alias("kind"), F.explode("prefix0").alias("token"))
-    payload = cand.select("class", "n", "sketch", F.col("prefix0").alias("tokens"))
-    state, links = linked(entries, payload, _may_link(t), lambda pairs: _verify(pairs, cand, t), scratch, wide)
-    members = members.join(state, "class", "left").select("doc_id", "class", "n", F.when(F.col("n") > 0, F.coalesce("component", "class")).alias("component"))
-    return members, links
-
-
-def jaccard_components(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id: the least doc_id reachable by links, itself included. See jaccard_classes."""
-    members, _ = jaccard_classes(docs, width, threshold, scratch)
-    least = members.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    full = members.join(least, "component", "left")
-    return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    entries = cand.select("class", F.explode("prefix0").alias("token"))
+    payload = cand.select("class", "n", "sketch", "orders", F.col("prefix0").alias("tokens"))
+    state, links = linked(entries, payload, t, lambda pairs: _verify(pairs, cand, t), scratch, wide, every)
+    classes = members.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
+    classes = classes.join(state, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return members, scratch.cut(classes, "grouped"), links
+
+
+def jaccard_classes(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), scratch: Scratch | None = None, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Self-join of ``docs`` (doc_id, text) on the Jaccard likeness of word shingles.
+
+    Returns (members, links): members has a row for each document: doc_id, class, n (set size), component (a class
+    key; null for an empty set); links has the verified links between classes that span the components (a, b), or
+    with ``every`` all links between different classes. A null or empty text has no set and no links; equal sets are
+    one class; rows repeat as they do in the input; a null doc_id is carried along. An empty table gives empty results."""
+    members, classes, links = _joined(docs, width, threshold, scratch or Scratch(docs.sparkSession, "jaccard"), every)
+    full = join_by_size(members, classes.select("class", "component", "size"), "class", "size", "left")
+    return full.select("doc_id", "class", "n", "component"), links
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), scratch: Scratch | None = None, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id: the least doc_id reachable by links, itself included. See jaccard_classes.
+
+    With ``count_links`` also n_links, the number of other rows that a row is linked with, equal sets included; all
+    links between classes are verified then, and counted by class."""
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
+    members, classes, links = _joined(docs, width, threshold, scratch, count_links)
+    groups = classes.groupBy("component").agg(F.min("least").alias("head"), F.count("*").alias("classes"), F.sum("size").alias("rows"))
+    heads = join_by_size(classes, scratch.cut(groups.filter("rows > 1"), "groups"), "component", "classes").select("class", "size", "head")
+    if count_links:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        sums = both.join(classes.select(F.col("class").alias("b"), F.col("size").alias("of")), "b").groupBy(F.col("a").alias("class")).agg(F.sum("of").alias("near"))
+        heads = heads.join(sums, "class", "left").withColumn("n_links", F.col("size") - 1 + F.coalesce("near", F.lit(0)))
+    full = join_by_size(members, scratch.cut(heads, "heads"), "class", "size", "left")
+    more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("head", "doc_id").alias("component_id"), *more)
