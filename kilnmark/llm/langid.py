@@ -11,15 +11,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._shared import Scratch, hash_sample
 
 #: Bytes of a window, width of the embedding, widths of filters and number of each.
 WINDOW, EMBED, WIDTHS, FILTERS = 512, 8, (2, 3, 4), 16
-#: Training: documents of each language (those with the least hash of doc_id), windows of each, passes, languages.
-SAMPLE, PER_DOC, PASSES, LANGUAGES = 500, 4, 6, 100
+#: Training: documents of each language, at most (those with the least hash), windows of each of these, at most, passes.
+SAMPLE, PER_DOC, PASSES = 500, 4, 6
 _FOLD = np.zeros(256, np.int64)  # 0: space and control; 1: digit; 2: mark; then letters and bytes from 128 on
 _FOLD[33:127] = 2
 _FOLD[48:58] = 1
@@ -105,7 +106,7 @@ class Net:
         """Of each text over the languages; every byte is in one window."""
         n = len(offsets) - 1
         sizes = np.diff(offsets)
-        pad = max(WIDTHS)
+        pad = 2 * max(WIDTHS)  # the places that count, half of it at most, read no byte of the next text
         starts = offsets[:-1] + pad * np.arange(n)
         x = np.zeros(len(data) + pad * n + pad, np.int64)
         x[np.arange(len(data)) + pad * np.repeat(np.arange(n), sizes)] = _FOLD[data]
@@ -113,6 +114,7 @@ class Net:
         owner = np.repeat(np.arange(n), windows)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         begin = starts[owner] + WINDOW * number
+        spans = np.column_stack((begin, np.where(number + 1 < windows[owner], begin + WINDOW, starts[owner] + sizes[owner] + max(WIDTHS)))).ravel()
         most = len(data) + pad * n
         pair = x[:-1] * SIZE + x[1:]
         pooled = []
@@ -122,7 +124,7 @@ class Net:
                 z += t[pair[2 * j : 2 * j + most]]
             if single is not None:
                 z += single[x[w - 1 : w - 1 + most]]
-            pooled.append(np.maximum.reduceat(z, begin, axis=0))
+            pooled.append(np.maximum.reduceat(z, spans, axis=0)[::2])
         h = np.maximum(np.concatenate(pooled, axis=1), 0)
         z = h @ self.out + self.out_bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -138,34 +140,36 @@ def held_out(doc_id: str):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def _windows(batches):
-    """Up to PER_DOC windows spread over each text: lang, window."""
-    for batch in batches:
-        langs, out = batch.column(0).to_pylist(), []
-        for lang, text in zip(langs, batch.column(1).to_pylist(), strict=True):
-            raw = (text or "").encode()
-            last = max(0, len(raw) - WINDOW)
-            for at in sorted({last * i // max(1, PER_DOC - 1) for i in range(PER_DOC)}):
-                out.append((lang, raw[at : at + WINDOW]))
-        cols = list(zip(*out, strict=True)) if out else ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary())], names=["lang", "part"])
+def _windows(per_doc: int):
+    """Up to ``per_doc`` windows spread over each text: lang, window."""
 
+    def run(batches):
+        for batch in batches:
+            out = []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = (text or "").encode()
+                last = max(0, len(raw) - WINDOW)
+                out += [(lang, raw[at : at + WINDOW]) for at in sorted({last * i // max(1, per_doc - 1) for i in range(per_doc)})]
+            cols = list(zip(*out, strict=True)) if out else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary())], names=["lang", "part"])
+
+    return run
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, per_doc: int = PER_DOC) -> Net | None:
+    """The network from at most ``sample`` documents of each language that aren't held out, ``per_doc`` windows of each.
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Net | None:
-    """The network from at most ``sample`` documents of each of at most LANGUAGES languages that aren't held out."""
+    Every value of lang that such a document has is a language."""
     rows = docs.filter("lang is not null and text is not null and doc_id is not null").filter(~held_out("doc_id"))
-    langs = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.filter(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= sample).select("doc_id")
-    chosen = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").select("lang", "text")  # sample * LANGUAGES ids at most
-    parts = chosen.mapInArrow(_windows, "lang string, part binary").toPandas().sort_values(["lang", "part"])
+    chosen = hash_sample(rows.select("doc_id", "lang", "text"), sample, Scratch(docs.sparkSession, "language-sample"), "lang")
+    parts = chosen.select("lang", "text").mapInArrow(_windows(per_doc), "lang string, part binary").toPandas().sort_values(["lang", "part"])  # sample * per_doc windows a language
     if not len(parts):
         return None
-    langs = sorted(langs)
+    langs = sorted(parts["lang"].unique().tolist())
     x = np.zeros((len(parts), WINDOW), np.int64)
     for i, raw in enumerate(parts["part"]):
         x[i, : len(raw)] = _FOLD[np.frombuffer(bytes(raw), np.uint8)]
-    y = np.array([langs.index(v) for v in parts["lang"]])
+    y = np.searchsorted(langs, parts["lang"].to_numpy(str))
     return Net(langs).train(x, y).multiply_out()
 
 
@@ -179,13 +183,14 @@ def _letters(texts: pa.Array, data: np.ndarray, offsets: np.ndarray, lo: int) ->
     return has
 
 
-def predict(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def predict(docs: DataFrame, sample: int = SAMPLE, per_doc: int = PER_DOC) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang).
 
     A null text and one without a letter are ``und`` with score 0, as is every text if no row can be learned from.
-    Rows repeat as in the input; a null doc_id is kept (held_out null). Extra columns are ignored."""
+    Of languages with the same probability the first by name is taken. Rows repeat as in the input; a null doc_id is
+    kept (held_out null). Extra columns are ignored; an empty table gives an empty result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    net = fit(docs, sample)
+    net = fit(docs, sample, per_doc)
 
     def run(batches):
         for batch in batches:

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._shared import Scratch, hash_sample
 
-#: Hash buckets of the scorer; documents that it is trained on, at most (least hash of doc_id); passes over them.
+#: Hash buckets of the scorer; documents that it is trained on, at most (least hash of doc_id and text); passes over them.
 LOG_DIM, SAMPLE, PASSES = 16, 4000, 8
 #: Common words of some languages, by which running text is told.
 COMMON = (
@@ -184,8 +185,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Scorer | None:
     order = np.argsort(codes)
     rates, share = estimate(patterns[order], np.array([r["n"] for r in counts])[order])
     scorer = Scorer(rates, share)
-    ids = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(_featured, "doc_id long, votes array<int>, buckets binary, weights binary").collect()
+    known = hash_sample(docs.filter("doc_id is not null").select("doc_id", "text"), sample, Scratch(docs.sparkSession, "quality-sample"))
+    rows = known.mapInArrow(_featured, "doc_id long, votes array<int>, buckets binary, weights binary").collect()  # ``sample`` rows at most
     rows.sort(key=lambda r: (_text.mix(np.array([r["doc_id"]], np.int64).view(np.uint64))[0], bytes(r["buckets"])))
     if rows:
         parts = [(np.frombuffer(bytes(r["buckets"]), "<i4"), np.frombuffer(bytes(r["weights"]), "<f4")) for r in rows]

@@ -5,7 +5,7 @@ store and a task that is run again leaves no second copy. Each row is one *shard
 
 Shard, little-endian: ``b"KMEF1\\0"``, u16 bytes an id (2 or 4), u64 documents, u64 ids, u64 null doc_ids (which come
 first), i64 least doc_id, then the Elias-Fano lists of document ends and of doc_ids above the least (u8 low bits, u64
-bytes of the low part, u64 bytes of the high part, u64 bytes of the select samples, the parts), then the ids.
+bytes of the low part, u64 bytes of the high part, u64 bytes of the u32 select samples, the parts), then the ids.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from ._shared import Scratch
 from .tokens import encoder, runs
 
 #: Every so many values a select sample; ids in a shard, about.
-EVERY, SHARD_IDS = 256, 1_000_000
+EVERY, SHARD_IDS = 64, 1_000_000
 _HEAD = struct.Struct("<6sHQQQq")
 _PART = struct.Struct("<BQQQ")
 
@@ -32,24 +32,27 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
+        self._low_view, self._high_view = memoryview(low), memoryview(high)
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.uint64)
         n = len(values)
         if not n:
-            return cls(0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, "<u8"))
+            return cls(0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, "<u4"))
         bits = max(0, int(int(values[-1]) // n).bit_length() - 1)
         low = np.packbits(((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
         ones = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
+        if int(ones[-1]) >> 32:
+            raise ValueError("too many values for 32-bit samples: write smaller shards")
         high = np.zeros(int(ones[-1]) // 8 + 1, np.uint8)
         np.bitwise_or.at(high, ones >> 3, (1 << (ones & 7)).astype(np.uint8))
-        return cls(n, bits, low, high, ones[::EVERY].astype("<u8"))
+        return cls(n, bits, low, high, ones[::EVERY].astype("<u4"))
 
     def _low(self, i: int) -> int:
         a = i * self.low_bits
         b = a + self.low_bits
-        whole = int.from_bytes(self.low[a >> 3 : (b + 7) >> 3].tobytes(), "little")
+        whole = int.from_bytes(self._low_view[a >> 3 : (b + 7) >> 3], "little")
         return (whole >> (a & 7)) & ((1 << self.low_bits) - 1)
 
     def select(self, i: int) -> int:
@@ -57,11 +60,12 @@ class EliasFano:
         if not 0 <= i < self.n:
             raise IndexError(i)
         at, need = int(self.samples[i // EVERY]), i % EVERY
-        byte, first = at >> 3, int(self.high[at >> 3]) >> (at & 7) << (at & 7)
-        while need >= first.bit_count():
-            need -= first.bit_count()
+        high, byte = self._high_view, at >> 3
+        first = high[byte] >> (at & 7) << (at & 7)
+        while need >= (ones := first.bit_count()):
+            need -= ones
             byte += 1
-            first = int(self.high[byte])
+            first = high[byte]
         for _ in range(need):
             first &= first - 1
         one = 8 * byte + (first & -first).bit_length() - 1
@@ -86,7 +90,7 @@ class EliasFano:
         bits, *sizes = _PART.unpack_from(data, at)
         at += _PART.size
         parts = []
-        for size, kind in zip(sizes, (np.uint8, np.uint8, np.dtype("<u8")), strict=True):
+        for size, kind in zip(sizes, (np.uint8, np.uint8, np.dtype("<u4")), strict=True):
             parts.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
             at += size
         return cls(n, bits, *parts), at
@@ -98,8 +102,11 @@ def write_shard(doc_ids: list[int | None], ids: list[bytes], id_bytes: int) -> b
     nulls = sum(d is None for d in doc_ids)
     known = np.array(doc_ids[nulls:], np.int64)
     least = int(known[0]) if len(known) else 0
-    flat = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{id_bytes}")
-    head = _HEAD.pack(b"KMEF1\0", id_bytes, len(doc_ids), len(flat), nulls, least)
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    if len(flat) and int(flat.max()) >> (8 * id_bytes):
+        raise ValueError(f"an id does not fit {id_bytes} bytes")
+    flat = flat.astype(f"<u{id_bytes}")
+    head = _HEAD.pack(b"KMEF2\0", id_bytes, len(doc_ids), len(flat), nulls, least)
     above = (known.view(np.uint64) - np.int64(least).view(np.uint64)) if len(known) else known.view(np.uint64)
     return head + EliasFano.encode(ends).tobytes() + EliasFano.encode(above).tobytes() + flat.tobytes()
 
@@ -109,7 +116,7 @@ class Shard:
 
     def __init__(self, data: bytes):
         magic, width, self.n, self.n_ids, self.nulls, self.least = _HEAD.unpack_from(data)
-        if magic != b"KMEF1\0":
+        if magic != b"KMEF2\0":
             raise ValueError("not a token-id shard")
         self.ends, at = EliasFano.frombytes(data, _HEAD.size, self.n)
         self.docs, at = EliasFano.frombytes(data, at, self.n - self.nulls)
@@ -119,7 +126,7 @@ class Shard:
         return self.flat[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.docs.all() + self.least).tolist()
+        return [None] * self.nulls + [self.least + self.docs.select(i) for i in range(self.docs.n)]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id: int = 0, id_bytes: int = 2, shard_ids: int = SHARD_IDS) -> None:
@@ -158,17 +165,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    Places within a shard are found by select, one document after the other."""
 
     def run(batches):
         for batch in batches:
             for part, seq, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 s = Shard(data)
-                ends = s.ends.all()
-                starts = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
+                ends = [s.ends.select(i) for i in range(s.n)]
+                starts = [0, *ends[:-1]]
                 flat = memoryview(s.flat.astype("<u4")).cast("B") if s.n_ids else b""
-                crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * s.n, pa.int64()), pa.array([seq] * s.n, pa.int64()), pa.array(s.doc_ids(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
+                crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * s.n, pa.int64()), pa.array([seq] * s.n, pa.int64()), pa.array(s.doc_ids(), pa.int64()), pa.array(starts, pa.int64()), pa.array([b - a for a, b in zip(starts, ends, strict=True)], pa.int64()), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     shards = spark.read.schema("part long, seq long, n_docs long, n_ids long, data binary").parquet(path)
     sizes = shards.select("part", "seq", "n_ids")

@@ -14,8 +14,8 @@ import re
 import numpy as np
 import pyarrow.compute as pc
 
-#: Pieces kept by a Python worker; then the cache starts anew.
-CACHE = 1_400_000
+#: Pieces kept by a Python worker, and their characters; beyond either the cache starts anew.
+CACHE, CACHE_CHARS = 1_400_000, 16_000_000
 #: A word whose lower case is as long, and marks behind it: two tokens' worth for a ``word`` file.
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 _ODD = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
@@ -35,6 +35,7 @@ class Encoder:
         self.kind = kind
         self.known: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
+        self.chars = self.head_chars = 0
         vocab = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
         mark = str.startswith if kind == "byte" else str.endswith
@@ -79,14 +80,15 @@ class Encoder:
         found = self.heads.get(piece)
         if found is None:
             found = self.heads[piece] = self._whole([piece])[0]
+            self.head_chars += len(piece)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; a null has none."""
-        if len(self.known) > CACHE:
-            self.known = {}
-        if len(self.heads) > CACHE // 8:
-            self.heads = {}
+        if len(self.known) > CACHE or self.chars > CACHE_CHARS:
+            self.known, self.chars = {}, 0
+        if len(self.heads) > CACHE // 8 or self.head_chars > CACHE_CHARS // 8:
+            self.heads, self.head_chars = {}, 0
         get, byte = self.known.__getitem__, self.kind == "byte"
         out: list = [b""] * len(texts)
         cut, whole, new = [], [], set()
@@ -104,6 +106,7 @@ class Encoder:
                 new.update(rest)
                 cut.append((i, start, rest))
         fresh = [x for x in new if x not in self.known]
+        self.chars += sum(map(len, fresh))
         for at in range(0, len(fresh), 20_000):
             self._learn(fresh[at : at + 20_000])
         for i, start, rest in cut:

@@ -2,8 +2,10 @@
 
 The intersection is determinised once into a table (state, letter) -> state. All words of a chunk of texts run through
 it at the same time, one array step a letter, so that misspelled terms cost no more than exact ones.
-A term in quotation marks, or near words that speak about wording, counts as quoted; near words of address as aimed.
-A logistic model over these counts, fitted on labelled rows, gives the score.
+The lexicon is widened by word stems learned from labelled rows, in whatever language; they go through an automaton of
+the same kind, which accepts words that start within a stem's edits. A term or stem in quotation marks, or near words
+that speak about wording, counts as quoted; near words of address as aimed. A logistic model over these counts, fitted
+on labelled rows, gives the score.
 """
 
 from __future__ import annotations
@@ -16,24 +18,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import Scratch
+from ._shared import Scratch, hash_sample
 
 #: Terms of abuse; words of quotation and of address looked for within WINDOW words of a term.
 LEXICON = (
     "clown", "coward", "creep", "cretin", "dimwit", "disgusting", "dumbass", "filthy", "garbage", "idiot", "imbecile", "loser", "moron",
     "pathetic", "pervert", "scum", "scumbag", "stupid", "trash", "vermin", "worthless",
 )
-QUOTING = ("said", "says", "quote", "quoted", "word", "term", "called", "wrote", "insult", "means")
-AIMING = ("you", "your", "youre", "are", "such", "shut", "hate")
+QUOTING = (
+    "said", "says", "quote", "quoted", "word", "term", "called", "wrote", "insult", "means",
+    "sagte", "sagt", "zitat", "zitiert", "wort", "begriff", "genannt", "schrieb", "beleidigung", "bedeutet",
+    "disait", "cite", "citation", "mot", "terme", "appelé", "écrit", "insulte", "signifie",
+    "dijo", "dice", "cita", "citado", "palabra", "término", "llamado", "escribió", "insulto", "significa",
+)
+AIMING = (
+    "you", "your", "youre", "are", "such", "shut", "hate", "du", "dich", "dein", "deine", "bist", "ihr", "euch", "hasse",
+    "tu", "toi", "ton", "vous", "votre", "êtes", "déteste", "tú", "tus", "eres", "usted", "ustedes", "odio",
+)
 WINDOW = 6
-#: Labelled rows that the model is fitted on, at most: those with the least hash of doc_id, of each label.
+#: Labelled rows that the model is fitted on, at most, of each label: those with the least hash of doc_id.
 SAMPLE = 4000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(48, 58), *range(128, 256)]] = True
-FEATURES = ("exact_aimed", "exact_plain", "exact_quoted", "near_aimed", "near_plain", "near_quoted", "stem", "stem_kinds", "share")
-TERMS = 7
+_OPENING, _CLOSING = ('"', "“", "„", "«", "'", "‘"), ('"', "”", "“", "»", "'", "’")
+#: Counts: exact or near hit of the lexicon, then of the stems, each aimed, plain or quoted; then stems of different kinds, hits in 100 words.
+TERMS = 12
+COUNTS = TERMS + 2
 #: A learned stem is the start of a word in this share of the abusive sample rows at least, and so many times as
-#: common there as in the others; stems have so many characters; at most so many are learned.
+#: common there as in the others; stems have so many characters; so many, those of the greatest lift, make the model.
 STEM_SHARE, STEM_LIFT, STEM_LENGTHS, STEMS = 0.005, 20, range(4, 9), 400
 
 
@@ -41,12 +53,16 @@ def edits_allowed(term: str) -> int:
     return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
+def stem_edits(stem: str) -> int:
+    return 0 if len(stem) < 6 else 1
+
+
 class Automaton:
     """Deterministic: the trie of ``terms`` times the Levenshtein automata of their edit limits.
 
     Works on UTF-8 bytes, of which those in no term are one class. ``table[state, class]`` is the next state (0: dead,
     1: start); ``edits[state]`` is the least distance to a term if the state accepts, else 99. With ``stems`` a word
-    is accepted that starts with a term."""
+    is accepted that starts within a term's edits."""
 
     def __init__(self, terms=LEXICON, limit=edits_allowed, stems: bool = False):
         raw = sorted({t.encode() for t in terms if t})
@@ -84,7 +100,7 @@ class Automaton:
         size = len(letters) + 1
         table, edits = [[0] * size], [99]
         todo = [start]
-        self.longest = 1 << 30 if stems else max((len(t) + limit(t.decode()) for t in raw), default=0)
+        self.stems, self.longest = stems, max((len(t) + limit(t.decode()) for t in raw), default=0)
         while todo:
             state = todo.pop(0)
             edits.append(min((e for node, e in state if e <= ends.get(node, -1)), default=99))
@@ -111,6 +127,8 @@ class Automaton:
     def distances(self, low: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Of each word the least distance to a term within its limit, else 99. ``low``: folded bytes."""
         out = np.full(len(starts), 99, np.int64)
+        if self.stems:  # what a word starts with is settled there
+            lengths = np.minimum(lengths, self.longest)
         live = np.flatnonzero(lengths <= self.longest)
         state = np.ones(len(live), np.int32)
         i = 0
@@ -127,6 +145,10 @@ class Automaton:
 
 def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = _LETTER[data]
+    two = np.flatnonzero(data[:-1] == 0xC2)  # U+0080 to U+00BF and U+2000 to U+203F are marks
+    three = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80))
+    for at in (two, two + 1, three, three + 1, three + 2):
+        inside[at] = False
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
@@ -134,37 +156,55 @@ def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(inside & (~before | edge[:-1])), np.flatnonzero(inside & (~after | edge[1:])) + 1
 
 
+def _beside(data: np.ndarray, at: np.ndarray, limits: np.ndarray, marks: tuple[str, ...], before: bool) -> np.ndarray:
+    """Whether one of the marks ends at (``before``) or starts at each place, within the text's limit."""
+    out = np.zeros(len(at), bool)
+    for raw in (m.encode() for m in marks):
+        first = at - len(raw) if before else at
+        ok = first >= limits if before else first + len(raw) <= limits
+        for k, c in enumerate(raw):
+            ok[ok] = data[first[ok] + k] == c
+        out |= ok
+    return out
+
+
+def _hashes(words) -> np.ndarray:
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    return np.unique(_text.words(data, np.array([0, len(data)]))[3])
+
+
+_QUOTING, _AIMING = _hashes(QUOTING), _hashes(AIMING)
+
+
 def features(automata: tuple[Automaton, Automaton], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of FEATURES for each text."""
+    """A row of COUNTS for each text."""
     n = len(offsets) - 1
-    out = np.zeros((n, len(FEATURES)))
+    out = np.zeros((n, COUNTS))
     if not len(data):
         return out
     starts, ends = _bounds(data, offsets)
     low = _text.LOWER[data]
-    found = automata[0].distances(low, starts, ends - starts)
-    stems = np.flatnonzero(automata[1].distances(low, starts, ends - starts) < 99)
-    of = np.searchsorted(offsets, starts[stems], "right") - 1
-    out[:, 6] = np.bincount(of, minlength=n)
-    kinds = np.unique(np.column_stack((of, _text.range_hash(low, starts[stems], ends[stems]).view(np.int64))), axis=0)[:, 0] if len(stems) else of
-    out[:, 7] = np.bincount(kinds, minlength=n)
-    hits = np.flatnonzero(found < 99)
-    rows = np.searchsorted(offsets, starts[hits], "right") - 1
-    raw = low.tobytes()
-    for h, r in zip(hits.tolist(), rows.tolist(), strict=True):
-        lo, hi = h, h
-        while lo > 0 and h - lo < WINDOW and starts[lo - 1] >= offsets[r]:
-            lo -= 1
-        while hi + 1 < len(starts) and hi - h < WINDOW and ends[hi + 1] <= offsets[r + 1]:
-            hi += 1
-        near = {raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in range(lo, hi + 1) if i != h}
-        left, right = raw[max(offsets[r], starts[h] - 3) : starts[h]], raw[ends[h] : min(offsets[r + 1], ends[h] + 3)]
-        marks = (b'"', "“".encode(), "„".encode(), "«".encode(), "'".encode(), "‘".encode()), (b'"', "”".encode(), "“".encode(), "»".encode(), "'".encode(), "’".encode())
-        quoted = left.endswith(marks[0]) and right.startswith(marks[1]) or not near.isdisjoint(QUOTING)
-        kind = 2 if quoted else 0 if not near.isdisjoint(AIMING) else 1
-        out[r, kind + 3 * (found[h] > 0)] += 1
-    words = np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=n) if len(starts) else np.zeros(n)
-    out[:, 8] = 100 * out[:, :TERMS].sum(axis=1) / np.maximum(words, 1)
+    rows = np.searchsorted(offsets, starts, "right") - 1
+    head = np.searchsorted(rows, np.arange(n + 1))  # a text's first word
+    counted = None
+    for base, automaton in enumerate(automata):
+        found = automaton.distances(low, starts, ends - starts)
+        hits = np.flatnonzero(found < 99)
+        if not len(hits):
+            continue
+        of = rows[hits]
+        if counted is None:
+            hashes = _text.range_hash(low, starts, ends)
+            counted = [np.concatenate(([0], np.cumsum(np.isin(hashes, known)))) for known in (_QUOTING, _AIMING)]
+        lo, hi = np.maximum(head[of], hits - WINDOW), np.minimum(head[of + 1], hits + WINDOW + 1)
+        about, aimed = (c[hi] - c[lo] - (c[hits + 1] - c[hits]) > 0 for c in counted)
+        marked = _beside(data, starts[hits], offsets[of], _OPENING, True) & _beside(data, ends[hits], offsets[of + 1], _CLOSING, False)
+        kind = np.where(marked | about, 2, np.where(aimed, 0, 1)) + 3 * (found[hits] > 0) + 6 * base
+        np.add.at(out, (of, kind), 1)
+        if base:
+            kinds = np.unique(np.column_stack((of, hashes[hits].view(np.int64))), axis=0)[:, 0]
+            out[:, TERMS] = np.bincount(kinds, minlength=n)
+    out[:, TERMS + 1] = 100 * out[:, :TERMS].sum(axis=1) / np.maximum(np.diff(head), 1)
     return out
 
 
@@ -177,8 +217,8 @@ class Model:
     """Logistic over the shaped features. Without labels of both kinds: an exact unquoted term is abuse."""
 
     def __init__(self):
-        w = np.zeros(len(FEATURES) + TERMS + 1)
-        w[9:16] = (6, 5, 1, 1.5, 1, 0, 0)
+        w = np.zeros(COUNTS + TERMS + 1)
+        w[COUNTS : COUNTS + 6] = 6, 5, 1, 1.5, 1, 0
         w[-1] = -4
         self.w = w
 
@@ -219,46 +259,48 @@ def _starts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([counts[v][k] for k in part], pa.int64()) for v in (0, 1))], names=["stem", "clean", "toxic"])
 
 
-def learn_stems(rows: DataFrame) -> list[str]:
-    """Word starts that are far more common in abusive texts of ``rows`` (toxic, text), the shortest of each kind."""
+def learn_stems(rows: DataFrame, most: int = STEMS) -> list[str]:
+    """Word starts that are far more common in abusive texts of ``rows`` (toxic, text), the shortest of each kind; of
+    these the ``most`` with the greatest lift."""
     of = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not of.get(0) or not of.get(1):
         return []
     sums = rows.mapInArrow(_starts, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lift = (F.col("toxic") / of[1]) / ((F.col("clean") + 1) / of[0])
     found = sums.withColumn("lift", lift).filter((F.col("toxic") >= max(5, STEM_SHARE * of[1])) & (F.col("lift") >= STEM_LIFT))
-    kept: list[str] = []
-    for r in sorted(found.orderBy(F.desc("lift"), "stem").limit(20 * STEMS).collect(), key=lambda r: (len(r["stem"]), -r["lift"], r["stem"])):
-        covered = any(r["stem"].startswith(k) for k in kept) or any(t.startswith(r["stem"]) for t in LEXICON)
-        if not covered and len(kept) < STEMS:
-            kept.append(r["stem"])
-    return kept
+    kept: dict[str, float] = {}
+    for r in sorted(found.collect(), key=lambda r: (len(r["stem"]), -r["lift"], r["stem"])):  # word starts in a share of the sample
+        x = r["stem"]
+        if not any(x[:k] in kept for k in STEM_LENGTHS) and not any(t.startswith(x) for t in LEXICON):
+            kept[x] = r["lift"]
+    return sorted(sorted(kept, key=lambda x: (-kept[x], x))[:most])
 
 
 class Scorer:
     """Automata and model; plain arrays, small enough to go with the tasks."""
 
     def __init__(self, terms=LEXICON, stems=()):
-        self.automata = Automaton(terms), Automaton(stems, lambda _: 0, stems=True)
+        self.automata = Automaton(terms), Automaton(stems, stem_edits, stems=True)
         self.stems = list(stems)
         self.model = Model()
 
     def features(self, texts) -> np.ndarray:
         parts = [features(self.automata, data, offsets) for _, _, data, offsets in _text.chunks(texts)]
-        return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+        return np.concatenate(parts) if parts else np.zeros((0, COUNTS))
+
 
+def fit(docs: DataFrame, labels: DataFrame | None, terms=LEXICON, sample: int = SAMPLE, stems: int = STEMS) -> Scorer:
+    """Learned from at most ``sample`` labelled rows of each label that aren't held out, with ``stems`` stems at most.
 
-def fit(docs: DataFrame, labels: DataFrame | None, terms=LEXICON, sample: int = SAMPLE) -> Scorer:
-    """Learned from at most ``sample`` labelled rows of each label that aren't held out."""
+    Of rows of one doc_id the least text is learned from."""
     if labels is None:
         return Scorer(terms)
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession, "toxic-sample")
     known = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(~held_out("doc_id"))
-    picked = [known.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (0, 1)]
-    chosen = picked[0].unionByName(picked[1])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # 2 * sample rows at most
-    rows = Scratch(spark, "toxic-sample").cut(rows.repartition(8), "rows")
-    scorer = Scorer(terms, learn_stems(rows))
+    chosen = hash_sample(known, sample, scratch, "toxic")  # 2 * sample rows at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = scratch.cut(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text").repartition(8), "rows")
+    scorer = Scorer(terms, learn_stems(rows, stems))
 
     def run(batches):
         for batch in batches:
@@ -274,7 +316,8 @@ def score(docs: DataFrame, labels: DataFrame | None, terms=LEXICON, sample: int
     """doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on), n_terms for every row of ``docs`` (doc_id, text).
 
     A null text is an empty one; empty texts get the score of a text without terms. Rows repeat as in the input; a
-    null doc_id is kept (held_out null). Extra columns are ignored; without labels a fixed model is used."""
+    null doc_id is kept (held_out null). Extra columns are ignored; without labels, or with labels of one kind, a fixed
+    model is used; an empty table gives an empty result."""
     scorer = fit(docs, labels, terms, sample)
 
     def run(batches):
@@ -288,7 +331,10 @@ def score(docs: DataFrame, labels: DataFrame | None, terms=LEXICON, sample: int
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``docs`` without the rows whose text the model rejects; every column as it was."""
+    """``docs`` without the rows whose text the model rejects; every column as it was.
+
+    Each row goes or stays by its own text, whatever its doc_id is; null and empty texts stay, repeated rows go or stay
+    together. An empty table gives an empty result."""
     scorer = fit(docs, labels)
     at = docs.columns.index("text")
 

@@ -153,6 +153,23 @@ def test_sketches_merge(spark):
     assert 600 < est < 1200
 
 
+# --- samples
+
+
+def test_samples_are_bounded_and_the_same_however_dealt(spark):
+    from kilnmark.llm._shared import Scratch, hash_sample
+
+    df = spark.range(5000).select((F.col("id") % 1300).alias("a"), (F.col("id") % 3 % 2).alias("b"))
+    scratch = Scratch(spark, "test")
+    one, two = ({tuple(r) for r in hash_sample(df.repartition(n), 100, scratch, "b").collect()} for n in (1, 7))
+    assert one == two and sum(b for _, b in one) == 100 and len(one) == 200
+    assert hash_sample(spark.range(10).select((F.col("id") % 4).alias("a")), 100, scratch).count() == 4
+    few = hash_sample(df, 50, scratch).collect()
+    hashes = sorted(r["h"] for r in df.distinct().select(F.xxhash64("a", "b").alias("h")).collect())
+    assert sorted(r["h"] for r in spark.createDataFrame(few).select(F.xxhash64("a", "b").alias("h")).collect()) == hashes[:50]
+    assert hash_sample(df.limit(0), 50, scratch).count() == hash_sample(df.limit(0), 50, scratch, "b").count() == 0
+
+
 # --- 2, 3
 
 
@@ -201,6 +218,10 @@ def test_elias_fano():
         e = tokenfile.EliasFano.encode(np.array(values, np.uint64))
         again, _ = tokenfile.EliasFano.frombytes(e.tobytes(), 0, len(values))
         assert again.all().tolist() == values and [again.select(i) for i in range(len(values))] == values
+    with pytest.raises(ValueError, match="does not fit"):
+        tokenfile.write_shard([1], [np.array([5, 70_000], "<u4").tobytes()], 2)
+    shard = tokenfile.Shard(tokenfile.write_shard([None, -(2**63), 2**63 - 1], [np.array(x, "<u4").tobytes() for x in ([1], [2, 3], [])], 2))
+    assert shard.doc_ids() == [None, -(2**63), 2**63 - 1] and [shard.ids(i).tolist() for i in range(3)] == [[1], [2, 3], []]
     n = 3000
     assert 8 * len(e.low) + 8 * len(e.high) < 64 * n
 
@@ -420,6 +441,57 @@ def test_em_finds_the_labellers():
     assert abs(share - 0.7) < 0.06 and np.all(np.abs(rates[:, 1, 1] - right) < 0.06)
 
 
+def test_em_climbs_the_likelihood_by_plain_python():
+    """Estimates against EM written out over single votes; posteriors are Bayes' rule."""
+    rng = np.random.default_rng(8)
+    patterns = np.unique(rng.integers(0, 3, (60, 4)), axis=0)
+    counts = rng.integers(1, 30, len(patterns))
+    rates, share = quality.estimate(patterns, counts, rounds=25)
+    good = [0.9 if sum(v == 1 for v in p) >= 2 * sum(v == 0 for v in p) + 1 else 0.1 for p in patterns]
+    for _ in range(25):
+        table = [[[2.0, 1.0, 1.0], [1.0, 2.0, 1.0]] for _ in range(4)]
+        for p, n, g in zip(patterns, counts, good, strict=True):
+            for k, v in enumerate(p):
+                table[k][1][v] += g * n
+                table[k][0][v] += (1 - g) * n
+        table = [[[x / sum(row) for x in row] for row in rows] for rows in table]
+        prior = (sum(g * n for g, n in zip(good, counts, strict=True)) + 1) / (sum(counts) + 2)
+        good = []
+        for p in patterns:
+            a, b = prior, 1 - prior
+            for k, v in enumerate(p):
+                a, b = a * table[k][1][v], b * table[k][0][v]
+            good.append(a / (a + b))
+    assert np.allclose(rates, table, atol=1e-4) and abs(share - prior) < 1e-4
+    assert np.allclose(quality.posterior(patterns, rates, share), good, atol=1e-3)
+
+
+def test_quality_scores_by_plain_python(spark):
+    """Votes from plain counts, and scores from hashed words and shapes, on whole texts."""
+    texts = ["", "The cat and the dog sat on the mat of the house, and it was good.", "$$$ %%% ### @@@", "AAA BBB " * 30, "one two\none two\none two", "12 34 56 78 90"]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    votes, found = quality.statistics(data, offsets)
+    scorer = quality.Scorer(np.full((len(quality.LABELLERS), 2, 3), 1 / 3), 0.5)
+    scorer.w = np.random.default_rng(1).normal(size=1 << quality.LOG_DIM)
+    scores = scorer.score(data, offsets, found)
+
+    def bucket(raw, shape):
+        h = _text.range_hash(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))
+        return int((_text.mix(h + np.uint64(1)) if shape else h)[0] >> np.uint64(64 - quality.LOG_DIM))
+
+    for t, v, s in zip(texts, votes, scores, strict=True):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        n, size = len(words), max(1, len(t))
+        share = sum(w.lower() in quality.COMMON for w in words) / max(1, n)
+        mean = sum(map(len, words)) / max(1, n)
+        marks = sum(c in "#$%&*+/<=>@[]^_`{|}~\\" for c in t) / size
+        want = {"length": 1 if n >= 40 else 0 if n < 8 else 2, "common": 0 if share < 0.04 else 1 if share > 0.12 else 2, "marks": 0 if marks > 0.04 else 1 if marks < 0.005 else 2, "word_length": 0 if mean < 2 or mean > 16 else 1 if 3 < mean < 10 else 2}
+        assert all(v[quality.LABELLERS.index(k)] == x for k, x in want.items())
+        shape = lambda w: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", w)))[:12]
+        z = sum(scorer.w[bucket(w.lower().encode(), False)] + scorer.w[bucket(shape(w).encode(), True)] for w in words) / max(1, n)
+        assert s == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_quality(spark, odd, empty):
     sf = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in queries.op6_quality(spark, sf).collect()}
@@ -536,6 +608,76 @@ def test_language(spark, odd, empty):
     assert langid.predict(empty).count() == 0
 
 
+def test_convolution_by_plain_loops():
+    """Probabilities of the multiplied-out tables against the network written out, window by window."""
+    rng = np.random.default_rng(3)
+    net = langid.Net(["a", "b", "c"], seed=5)
+    net.out = rng.normal(size=net.out.shape).astype(np.float32)
+    net.out_bias = rng.normal(size=3).astype(np.float32)
+    net.bias = [rng.normal(size=b.shape).astype(np.float32) for b in net.bias]
+    net.multiply_out()
+    texts = ["", "Ab 1?", "Straße und Haus " * 90, "x" * 512, "é" * 300]
+    raw = [t.encode() for t in texts]
+    got = net.probabilities(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, p in zip(raw, got, strict=True):
+        padded = [int(langid._FOLD[c]) for c in t] + [0] * 8
+        total, weights = np.zeros(3), 0
+        for at in range(0, max(1, len(t)), langid.WINDOW):
+            end = min(at + langid.WINDOW, len(t))
+            last = end + max(langid.WIDTHS) if end == len(t) else end
+            pooled = []
+            for w, f, b in zip(langid.WIDTHS, net.filters, net.bias, strict=True):
+                z = [np.concatenate([net.embed[(padded + [0] * 8)[i + j]] for j in range(w)]) @ f + b for i in range(at, last)]
+                pooled.append(np.max(z, axis=0))
+            h = np.maximum(np.concatenate(pooled), 0)
+            q = np.exp(h @ net.out + net.out_bias)
+            size = max(1, end - at)
+            total, weights = total + size * q / q.sum(), weights + size
+        assert np.allclose(p, total / weights, atol=1e-4)
+
+
+def test_stems_start_words_within_an_edit():
+    rng, stems = random.Random(4), ("achlich", "boco", "idioti")
+    a = toxicity.Automaton(stems, toxicity.stem_edits, stems=True)
+    for _ in range(2000):
+        w = list(rng.choice(stems) + rng.choice(["", "en", "xxxx"]))
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = rng.choice(["", "x", "bo"])
+            w = w or ["a"]
+        word = "".join(w) or "a"
+        want = min((d for t in stems for k in range(len(word) + 1) if (d := edit_distance(t, word[:k])) <= toxicity.stem_edits(t)), default=99)
+        raw = np.frombuffer(word.encode(), np.uint8)
+        assert a.distances(raw, np.array([0]), np.array([len(raw)]))[0] == want
+
+
+def test_contexts_by_plain_python():
+    """Counts of exact and near hits, aimed, plain or quoted, against a loop over words."""
+    rng = random.Random(6)
+    stems = ["schwach", "tonto"]
+    automata = toxicity.Scorer(stems=stems).automata
+    bits = ["idiot", "ldiot", "Moron", "schwachkopf", "tontos", "the", "you", "du", "said", "Wort", "tree", "house", "sky", "and", "runs", '"idiot"', "«tonto»", "„idiot“", "'moron", "été"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(0, 30))) for _ in range(200)]
+    raw = [t.encode() for t in texts]
+    got = toxicity.features(automata, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, x in zip(texts, got, strict=True):
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9é]+", t)]
+        words = ["".join(c.lower() if c.isascii() else c for c in t[a:b]) for a, b in spans]
+        want, kinds = np.zeros(toxicity.COUNTS), set()
+        for i, (w, (a, b)) in enumerate(zip(words, spans, strict=True)):
+            near = {words[j] for j in range(max(0, i - 6), min(len(words), i + 7)) if j != i}
+            quoted = (t[:a].endswith(tuple('"“„«\'‘')) and t[b:].startswith(tuple('"”“»\'’'))) or bool(near & set(toxicity.QUOTING))
+            kind = 2 if quoted else 0 if near & set(toxicity.AIMING) else 1
+            whole = min((d for s in toxicity.LEXICON if (d := edit_distance(s, w)) <= toxicity.edits_allowed(s)), default=99)
+            start = min((d for s in stems for k in range(len(w) + 1) if (d := edit_distance(s, w[:k])) <= toxicity.stem_edits(s)), default=99)
+            if whole < 99:
+                want[kind + 3 * (whole > 0)] += 1
+            if start < 99:
+                want[6 + kind + 3 * (start > 0)] += 1
+                kinds.add(w)
+        want[toxicity.TERMS], want[toxicity.TERMS + 1] = len(kinds), 100 * want[: toxicity.TERMS].sum() / max(1, len(words))
+        assert x.tolist() == pytest.approx(want.tolist())
+
+
 def test_levenshtein_automaton():
     rng, terms = random.Random(1), ("idiot", "moron", "disgusting", "abc")
     a = toxicity.Automaton(terms)
