@@ -40,12 +40,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark text was found go."""
+    """Rows in whose text a benchmark text was found go, whatever their doc_id is; null and empty texts stay."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's token pieces with their place in a sequence of 4096."""
+    """Every document's token pieces with their place in a sequence of 4096; a null or empty text is its end id alone."""
     import public_tokenizers
 
     return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -59,14 +59,18 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the model nor the tokenizer; tests/llm holds run() against a brute-force version.
+#: SQL can express neither the model nor the tokenizer; tests/llm holds the stages and run() against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each result is written to the shared folder and read again as the next one's input."""
+    """All stages on ``documents``; each result is written to the shared folder and read again as the next one's input,
+    and goes when that one's result is written."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = scratch.cut(stage(spark, docs, sf_dir), name)
+        if held is not None:
+            scratch.drop(held)
+        held = docs
     return docs
