@@ -62,12 +62,14 @@ def trim() -> None:
 
 
 def _release() -> None:
-    """Drop what encoders of an earlier stage have learned in this Python worker, and hand free memory back."""
+    """Drop what encoders of an earlier stage have learned in this Python worker, and hand free memory back.
+
+    Workers serve one stage after the other: what one left unused would add up with what the next one needs."""
     tokens = sys.modules.get(f"{__package__}.tokens")
     if tokens is not None and tokens._encoders:
         tokens._encoders.clear()
         gc.collect()
-        trim()
+    trim()
 
 
 def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -273,7 +273,7 @@ def _indexes(benchmark: DataFrame) -> list[Broadcast]:
 def _found(column: pa.Array, index: Index) -> list[tuple[int, int, int, int, int, int]]:
     """(row, item, start, end, edits, patterns) with places by characters of the texts as they are."""
     out = []
-    for lo, _, data, offsets in _text.chunks(column):
+    for lo, _, data, offsets in _text.chunks(column, 1 << 19):
         points, starts, places, first = fold(data, offsets)
         for r, i, a, b, e, n in index.search(points, starts):
             out.append((lo + r, i, int(places[a] - first[r]), int(places[b - 1] + 1 - first[r]), e, n))

@@ -14,8 +14,10 @@ import re
 import numpy as np
 import pyarrow.compute as pc
 
-#: Pieces kept by a Python worker, and their characters; beyond either the cache starts anew.
-CACHE, CACHE_CHARS = 1_400_000, 16_000_000
+from . import _text
+
+#: Pieces kept by a Python worker for each kind of file, and their characters; beyond either the cache starts anew.
+CACHE, CACHE_CHARS = {"byte": 1_400_000, "word": 900_000}, 16_000_000
 #: A word whose lower case is as long, and marks behind it: two tokens' worth for a ``word`` file.
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 _ODD = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
@@ -85,9 +87,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; a null has none."""
-        if len(self.known) > CACHE or self.chars > CACHE_CHARS:
+        if len(self.known) > CACHE[self.kind] or self.chars > CACHE_CHARS:
             self.known, self.chars = {}, 0
-        if len(self.heads) > CACHE // 8 or self.head_chars > CACHE_CHARS // 8:
+        if len(self.heads) > CACHE[self.kind] // 8 or self.head_chars > CACHE_CHARS // 8:
             self.heads, self.head_chars = {}, 0
         get, byte = self.known.__getitem__, self.kind == "byte"
         out: list = [b""] * len(texts)
@@ -126,6 +128,7 @@ def encoder(path: str, kind: str) -> Encoder:
     """This process's encoder; a Python worker that serves further tasks keeps what it has learned."""
     if (path, kind) not in _encoders:
         _encoders.clear()
+        _text.trim()
         _encoders[path, kind] = Encoder(path, kind)
     return _encoders[path, kind]
 
