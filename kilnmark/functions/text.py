@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values that results depend on: words by which a label says what kind of date it prints.
+# Fixed values that results depend on: words by which a label says what kind of date it prints, as norm() leaves them.
 ANCHORS = {
     "소비기한": ["소비기한", "소비기힌", "비기한"],
     "유통기한": ["유통기한", "유통기힌", "통기한"],
     "품질유지기한": ["품질유지기한", "품질유지"],
-    "제조일자": ["제조일자", "제조년월일", "제조일", "제조년"],
+    "제조일자": ["제조일자", "제조년월일", "제조일", "제조년", "제조"],
     "생산일자": ["생산일자", "생산일"],
     "포장일자": ["포장일자", "포장일", "포장년월일"],
     "賞味期限": ["賞味期限", "賞味期"],

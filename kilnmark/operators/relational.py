@@ -120,14 +120,65 @@ def keep_share(df: DataFrame, by: str, order: list, share: float, least: int) ->
     return x.filter(keep).drop("__r", "__n")
 
 
-def rows_for_share(df: DataFrame, value: str, key: str, share: float) -> DataFrame:
-    """How many of the largest rows hold a share of the total.
-
-    Values are added up per distinct value first; only the running sum over distinct values is in one place."""
-    per = df.groupBy(value).agg(F.count("*").alias("c"), F.sum(value).alias("s"))
-    w = Window.orderBy(F.desc(value))
-    run = per.select(value, "c", "s", F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("rows"), F.sum("s").over(Window.partitionBy()).alias("t"))
-    run = run.fillna(0, ["before", "rows"]).filter((F.col("before") < share * F.col("t")) & (F.col("before") + F.col("s") >= share * F.col("t")))
+#: Cuts at quantiles by which a column's order is first looked at; then only the rows between two of them.
+CUTS = 200
+
+
+def _cuts(df: DataFrame, value: str) -> list[float]:
+    """Estimated quantiles; the summaries merge, so no task sees all values."""
+    found = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / CUTS for i in range(1, CUTS)], 20 * CUTS).alias("q")).first()["q"]
+    return sorted(set(found or []))
+
+
+def _part(value: str, cuts: list[float]) -> Column:
+    """The number of cuts that a value is above."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda q: q < F.col(value))) if cuts else F.lit(0)
+
+
+def exact_quantile(df: DataFrame, value: str, share: float) -> DataFrame:
+    """One row with the exact quantile of a column, between neighbours by their distance; null without values.
+
+    Estimated cuts and the counts between them tell which part holds the ranks; only that part is sorted, by shuffle,
+    and two of its rows are taken."""
+    df = df.select(F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
+    cuts = _cuts(df, value)
+    sizes = {r["p"]: r["n"] for r in df.groupBy(_part(value, cuts).alias("p")).agg(F.count("*").alias("n")).collect()}  # CUTS rows
+    n = sum(sizes.values())
+    if not n:
+        return df.agg(F.max(value).alias(value))
+    at = (n - 1) * share
+
+    def ranked(k: int) -> float:
+        before = 0
+        for p in sorted(sizes):
+            if before + sizes[p] > k:
+                return df.filter(_part(value, cuts) == p).orderBy(value).offset(k - before).limit(1).first()[value]
+            before += sizes[p]
+        raise IndexError(k)
+
+    low = ranked(int(at))
+    high = ranked(int(at) + 1) if at > int(at) else low
+    return df.sparkSession.range(1).select(F.lit(low + (high - low) * (at - int(at))).alias(value))
+
+
+def rows_for_share(df: DataFrame, value: str, share: float) -> DataFrame:
+    """One row: how many of the largest rows hold a share of the total.
+
+    Sums between estimated cuts tell where the share is reached; only the values between two cuts are added up one by
+    one, each distinct value once."""
+    cuts = _cuts(df, value)
+    sums = df.groupBy(_part(value, cuts).alias("p")).agg(F.sum(value).alias("s"), F.count("*").alias("n")).orderBy(F.desc("p")).collect()  # CUTS rows
+    total, before, rows, part = sum(r["s"] or 0 for r in sums), 0.0, 0, 0
+    for r in sums:
+        part = r["p"]
+        if before + (r["s"] or 0) >= share * total:
+            break
+        before, rows = before + (r["s"] or 0), rows + r["n"]
+    per = df.filter(_part(value, cuts) == part).groupBy(value).agg(F.count("*").alias("c"), F.sum(value).alias("s"))
+    w = Window.orderBy(F.desc(value))  # the values of one part
+    sofar = w.rowsBetween(Window.unboundedPreceding, -1)
+    run = per.select(value, "c", "s", (F.coalesce(F.sum("s").over(sofar), F.lit(0.0)) + before).alias("before"), (F.coalesce(F.sum("c").over(sofar), F.lit(0)) + rows).alias("rows"), F.lit(total).alias("t"))
+    run = run.filter((F.col("before") < share * F.col("t")) & (F.col("before") + F.col("s") >= share * F.col("t")))
     need = F.greatest(F.lit(1), F.ceil(F.round((share * F.col("t") - F.col("before")) / F.col(value), 9)))
     return run.agg(F.min(F.col("rows") + need).alias("needed"))
 

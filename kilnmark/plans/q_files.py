@@ -13,8 +13,12 @@ from .registry import Tables, query
 
 
 def _folder(t: Tables) -> str:
-    """A folder of its own in the shared one; a temporary one only where none is set."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kilnmark-")
+    """A folder of its own in the shared one; a temporary one only where none is set and the session is local."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="kilnmark-")
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 

@@ -12,6 +12,7 @@ from ..operators import cascade as C
 from ..operators import models as M
 from ..operators import relational as R
 from ..streaming import budget
+from .q_text import BARE, KIND_SQL, has_sql
 from .registry import Tables, query
 
 
@@ -62,15 +63,18 @@ def o_d24(t: Tables):
     return t.texts.select("doc_id", F.explode(B.find_year_month(F.col("text"))).alias("ym"))
 
 
-@query("o_d25", r"SELECT doc_id, variant = 18 AS v FROM texts WHERE variant IN (0, 18)")
+@query("o_d25")
 def o_d25(t: Tables):
-    dt = F.to_date(F.concat_ws("-", "ty", "tm", "td"))
-    return t.texts.filter("variant in (0, 18)").select("doc_id", B.made_only(F.col("text"), dt).alias("v"))
+    return t.texts.select("doc_id", B.made_only(F.expr(BARE), F.to_date(F.concat_ws("-", "ty", "tm", "td"))).alias("v"))
 
 
-@query("o_d26", "SELECT doc_id, contains(text, '까지') AND contains(text, '부터') AS v FROM (SELECT doc_id, text || ' 까지' AS text FROM texts WHERE NOT contains(text, '제조')) x")
+#: Each text beside a word of the kind that makes it a pair for some.
+_PAIRED = f"({BARE}) || CASE CAST(doc_id % 3 AS INTEGER) WHEN 0 THEN ' 까지' WHEN 1 THEN ' 제조' ELSE ' EXPIRY' END"
+
+
+@query("o_d26", f"SELECT doc_id, variant % 4 < 3 AND (({has_sql(['부터'], _PAIRED)} AND {has_sql(['까지'], _PAIRED)}) OR ({has_sql(KIND_SQL['neg'], _PAIRED)} AND {has_sql(KIND_SQL['pos'], _PAIRED)})) AS v FROM texts")
 def o_d26(t: Tables):
-    return t.texts.filter("not contains(text, '제조') ").select("doc_id", F.concat("text", F.lit(" 까지")).alias("text")).select("doc_id", (B.needs_more(F.lit(1), F.array_except(T.find_anchors(F.col("text")), F.array(F.lit("MFG"))))).alias("v"))
+    return t.texts.select("doc_id", B.needs_more(F.when(F.col("variant") % 4 < 3, 1).otherwise(2), T.find_anchors(F.expr(_PAIRED))).alias("v"))
 
 
 @query("o_d27")
@@ -196,10 +200,12 @@ def o_m2(t: Tables):
     return M.out_of_fold(t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k"), "l_quantity", "l_discount", F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y")), "k", ["l_quantity", "l_discount"], "y", 3)
 
 
-@query("o_m3", "SELECT CAST(round(0.5 / 2, 6) AS DOUBLE) AS w0, CAST(round(-1.0 / 4, 6) AS DOUBLE) AS w1, CAST(round(0.1 - (0.25 * 10 + -0.25 * 3), 6) AS DOUBLE) AS b")
+@query("o_m3", "SELECT l_returnflag, round(avg(0.1 + 0.5 * (l_quantity - mq) / sq - 1.0 * (l_tax - mt) / st), 6) AS z FROM lineitem, (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_tax) AS mt, stddev_pop(l_tax) AS st FROM lineitem) s GROUP BY l_returnflag")
 def o_m3(t: Tables):
-    w, b = R.fold_scaler([0.5, -1.0], 0.1, [10, 3], [2, 4])
-    return t.spark.createDataFrame([(w[0], w[1], b)], "w0 double, w1 double, b double").select(F.round("w0", 6).alias("w0"), F.round("w1", 6).alias("w1"), F.round("b", 6).alias("b"))
+    """A model of scaled features applied to unscaled ones: the same scores without a scaler."""
+    s = t.lineitem.agg(*[f(c).alias(f"{n}_{c}") for c in ("l_quantity", "l_tax") for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    w, b = R.fold_scaler([0.5, -1.0], 0.1, [s["m_l_quantity"], s["m_l_tax"]], [s["s_l_quantity"], s["s_l_tax"]])
+    return t.lineitem.groupBy("l_returnflag").agg(F.round(F.avg(F.col("l_quantity") * w[0] + F.col("l_tax") * w[1] + b), 6).alias("z"))
 
 
 @query("o_m5")

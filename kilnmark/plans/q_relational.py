@@ -32,9 +32,9 @@ def o_p4(t: Tables):
     return t.texts.select("doc_id", F.col("text").rlike("^[0-9]{6}$").alias("v"))
 
 
-@query("o_p5", r"SELECT doc_id, nullif(trim(regexp_replace(substr(text, 1, 200), '[\x00-\x08\x0A-\x1F]', '', 'g')), '') AS v FROM documents")
+@query("o_p5", r"SELECT doc_id, nullif(trim(regexp_replace(text, '[\x00-\x08\x0A-\x1F]', '', 'g')), '') AS v FROM documents")
 def o_p5(t: Tables):
-    return t.documents.select("doc_id", R.clean(F.substring("text", 1, 200)).alias("v"))
+    return t.documents.select("doc_id", R.clean(F.col("text")).alias("v"))
 
 
 @query("o_p6", "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 8 + 1 IN (5, 6, 7, 8) THEN l_tax ELSE l_discount END AS w, CASE WHEN l_partkey % 8 + 1 IN (5, 6, 7, 8) THEN l_discount ELSE l_tax END AS h FROM lineitem")
@@ -378,15 +378,14 @@ def o_w3(t: Tables):
     return R.keep_share(t.boxes, "doc_id", [F.desc("h"), F.col("pos")], 0.3, 4).select("doc_id", "pos")
 
 
-@query("o_w4", "SELECT min(r) AS needed FROM (SELECT row_number() OVER (ORDER BY value DESC, event_id) AS r, sum(value) OVER (ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING) AS c, sum(value) OVER () AS t FROM events WHERE event_type = (SELECT min(event_type) FROM events)) x WHERE c >= 0.9 * t")
+@query("o_w4", "SELECT min(r) AS needed FROM (SELECT row_number() OVER (ORDER BY value DESC, event_id) AS r, sum(value) OVER (ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING) AS c, sum(value) OVER () AS t FROM events) x WHERE c >= 0.9 * t")
 def o_w4(t: Tables):
-    first = t.events.agg(F.min("event_type").alias("event_type"))
-    return R.rows_for_share(t.events.join(F.broadcast(first), "event_type"), "value", "event_id", 0.9)  # one row
+    return R.rows_for_share(t.events, "value", 0.9)
 
 
 @query("o_w5", "SELECT event_type, round(avg(CASE WHEN value >= q THEN 1.0 ELSE 0 END), 6) AS kept FROM events CROSS JOIN (SELECT quantile_cont(value, 0.7) AS q FROM events) z GROUP BY event_type")
 def o_w5(t: Tables):
-    q = t.events.agg(F.percentile("value", 0.7).alias("q"))
+    q = R.exact_quantile(t.events, "value", 0.7).withColumnRenamed("value", "q")
     return t.events.join(F.broadcast(q)).groupBy("event_type").agg(F.round(F.avg(F.when(F.col("value") >= F.col("q"), 1.0).otherwise(0.0)), 6).alias("kept"))  # one row
 
 
@@ -573,7 +572,7 @@ def o_g13(t: Tables):
 
 @query("o_g14", "SELECT event_type, round(median(value), 6) AS mid, round(median(value) / (SELECT median(value) FROM events), 6) AS ratio FROM events GROUP BY event_type")
 def o_g14(t: Tables):
-    every = t.events.agg(F.percentile("value", 0.5).alias("m"))
+    every = R.exact_quantile(t.events, "value", 0.5).withColumnRenamed("value", "m")
     g = t.events.groupBy("event_type").agg(F.percentile("value", 0.5).alias("mid"))
     return g.join(F.broadcast(every)).select("event_type", F.round("mid", 6).alias("mid"), F.round(F.col("mid") / F.col("m"), 6).alias("ratio"))  # one row
 

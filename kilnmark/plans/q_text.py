@@ -23,6 +23,24 @@ SCORE = f"({_sum(T.STRONG, 10)} + {_sum(T.WEAK, 4)} + {_sum(T.AGAINST, -12)} + {
 NORM = r"lower(regexp_replace(text, '[\s·:;,_()\[\]/\\|]+', '', 'g'))"
 
 
+#: For the other engine, written for it: what each kind of word looks like in normalised text.
+ANCHOR_SQL = {
+    "소비기한": "비기한|소비기힌", "유통기한": "통기한|유통기힌", "품질유지기한": "품질유지", "제조일자": "제조", "생산일자": "생산일", "포장일자": "포장(일|년월일)",
+    "賞味期限": "賞味期", "消費期限": "消費期", "BEST_BEFORE": "bestbe|bbe", "EXP": r"exp\.|expiry|expdate|use(by|before)", "MFG": "mfg|mfd|manufactur|prod(uction)?date", "까지": "까지", "부터": "부터",
+    "별도표기": "별도표[기시]|표기일까지|[하상]단표기|제품별도|별도기재|우측표기|전면표기|표시일까지|표시된일자|아래에표시|후면표시",
+}
+KIND_SQL = {"pos": ("소비기한", "유통기한", "품질유지기한", "賞味期限", "消費期限", "BEST_BEFORE", "EXP"), "neg": ("제조일자", "생산일자", "포장일자", "MFG")}
+
+
+def has_sql(keys, text):
+    """SQL: whether a text has a word of one of the kinds."""
+    return f"regexp_matches({NORM.replace('text', text)}, '{'|'.join(ANCHOR_SQL[k] for k in keys)}')"
+
+
+#: Every other text with the short word for manufacture, which stands alone or before a date.
+BARE = "CASE WHEN doc_id % 2 = 1 THEN replace(text, '제조일', '제조') ELSE text END"
+
+
 def simple(name, column, sql, source="texts", key="doc_id"):
     """A query that adds one computed column v to a source's key."""
 
@@ -32,11 +50,11 @@ def simple(name, column, sql, source="texts", key="doc_id"):
 
 
 simple("o_s1", lambda: T.norm(F.col("text")), NORM)
-simple("o_s2", lambda: F.array_join(T.find_anchors(F.col("text")), ","), "concat_ws(',', " + ", ".join(f"CASE WHEN {_any(w, NORM)} THEN '{k}' END" for k, w in T.ANCHORS.items()) + ")")
+simple("o_s2", lambda: F.array_join(T.find_anchors(F.expr(BARE)), ","), "concat_ws(',', " + ", ".join(f"CASE WHEN {has_sql([k], BARE)} THEN '{k}' END" for k in ANCHOR_SQL) + ")")
 simple("o_s4", lambda: T.keyword_score(F.col("text")), f"CAST({SCORE} AS INTEGER)")
 simple("o_s5", lambda: T.repair_digit(F.upper(F.col("text"))), r"regexp_replace(upper(text), '(20[0-9]{2})[.\-/:]?\s*[COQ]([0-9])[.\-/:]([0-9]{1,2})', '\1.0\2.\3', 'g')")
 simple("o_s6", lambda: T.letters_as_digits(F.col("text")), "translate(text, 'OoDQIil|ZSBGbT', '00001111258667')")
-simple("o_s7", lambda: T.digits_as_letters(F.substring("p_name", 1, 8)), "translate(substr(p_name, 1, 8), '01345689', 'oleasgbg')", "part", "p_partkey")
+simple("o_s7", lambda: T.digits_as_letters(F.col("p_name")), "translate(p_name, '01345689', 'oleasgbg')", "part", "p_partkey")
 simple("o_s9", lambda: T.month_number(F.regexp_extract(F.upper(F.col("text")), "([A-Z]{3,4})", 1)), "CASE WHEN regexp_extract(upper(text), '[A-Z]{3,4}') <> '' AND instr('JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC', substr(regexp_extract(upper(text), '[A-Z]{3,4}'), 1, 3)) % 3 = 1 THEN CAST((instr('JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC', substr(regexp_extract(upper(text), '[A-Z]{3,4}'), 1, 3)) + 2) // 3 AS INTEGER) END")
 simple("o_s10", lambda: T.latin_dominant(F.col("text")), "length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 2 * length(regexp_replace(text, '[^가-힣]', '', 'g'))")
 simple("o_s11", lambda: T.digit_rich(F.col("text")), "length(regexp_replace(text, '[^0-9]', '', 'g')) >= 4")
@@ -72,14 +90,22 @@ simple("o_s20", lambda: T.manual_label(F.col("text")), f"CASE WHEN length({_DG})
 simple("o_s21", lambda: T.label_state(F.when(F.col("rung_ord") == 8, "SKIP").otherwise(F.col("pred"))), "CASE WHEN rung_ord = 8 THEN 'skip' WHEN regexp_full_match(pred, 'NONE|([0-9]{4}|NONE)-([0-9]{2}|NONE)-([0-9]{2}|NONE)') THEN 'ok' ELSE 'bad' END", "rungs")
 
 
-@query("o_s3", f"SELECT {_any(sum((T.ANCHORS[k] for k in T.POSITIVE), []), NORM)} AS has_pos, {_any(sum((T.ANCHORS[k] for k in T.NEGATIVE), []), NORM)} AS has_neg, {_any(T.ANCHORS['까지'], NORM)} AS soft, {_any(T.ANCHORS['별도표기'], NORM)} AS trap, count(*) AS n FROM texts GROUP BY ALL")
+@query("o_s3", f"SELECT {has_sql(KIND_SQL['pos'], BARE)} AS has_pos, {has_sql(KIND_SQL['neg'], BARE)} AS has_neg, {has_sql(['까지'], BARE)} AS soft, {has_sql(['별도표기'], BARE)} AS trap, count(*) AS n FROM texts GROUP BY ALL")
 def o_s3(t: Tables):
-    return t.texts.select(T.polarity(T.find_anchors(F.col("text"))).alias("p")).select("p.*").groupBy("has_pos", "has_neg", "soft", "trap").agg(F.count("*").alias("n"))
+    return t.texts.select(T.polarity(T.find_anchors(F.expr(BARE))).alias("p")).select("p.*").groupBy("has_pos", "has_neg", "soft", "trap").agg(F.count("*").alias("n"))
+
+
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+#: Month names of all texts, as they are, with letters read as digits, or with one letter wrong; and the texts themselves.
+_NAME = "substr('JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC', CAST(doc_id * 7 % 12 * 3 + 1 AS INTEGER), 3)"
+WORN = f"CASE CAST(doc_id % 5 AS INTEGER) WHEN 0 THEN {_NAME} || ' 12' WHEN 1 THEN translate({_NAME}, 'OLEASGB', '0134568') || '.' WHEN 2 THEN substr({_NAME}, 1, 1) || 'x' || substr({_NAME}, 3, 1) WHEN 3 THEN 'q' || substr({_NAME}, 2, 2) || '/24' ELSE text END"
+_EXACT = " ".join(f"WHEN contains(t, '{m}') OR contains(u, '{m}') THEN {i}" for i, m in enumerate(_MONTHS, 1))
+_NEAR = " ".join(f"WHEN length(u) >= 3 AND (substr(u, 1, 1) = '{m[0]}')::INT + (substr(u, 2, 1) = '{m[1]}')::INT + (substr(u, 3, 1) = '{m[2]}')::INT >= 2 THEN {i}" for i, m in enumerate(_MONTHS, 1))
 
 
-@query("o_s8", "SELECT p_partkey, CASE WHEN contains(v, 'jan') THEN 1 END AS v FROM (SELECT p_partkey, translate(x, '01345689', 'oleasgbg') AS v FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'j4n' WHEN 1 THEN '#1' ELSE 'zzz' END AS x FROM part) a) b")
+@query("o_s8", f"SELECT doc_id, CASE WHEN regexp_full_match(t, '[0-9]*') THEN NULL {_EXACT} {_NEAR} END AS v FROM (SELECT doc_id, t, translate(t, '01345689', 'oleasgbg') AS u FROM (SELECT doc_id, regexp_replace(lower({WORN}), '[^a-z0-9]', '', 'g') AS t FROM texts) a) b")
 def o_s8(t: Tables):
-    return t.part.select("p_partkey", T.fuzzy_month(F.expr("case p_partkey % 3 when 0 then 'j4n' when 1 then '#1' else 'zzz' end")).alias("v"))
+    return t.texts.select("doc_id", T.fuzzy_month(F.expr(WORN)).alias("v"))
 
 
 @query("o_s22", "SELECT doc_id, CASE WHEN doc_id % 8 = 7 THEN 'NONE' ELSE CASE WHEN doc_id % 2 = 1 THEN 'NONE' ELSE ty END || '-' || CASE WHEN doc_id % 4 >= 2 THEN 'NONE' ELSE tm END || '-' || CASE WHEN doc_id % 8 >= 4 THEN 'NONE' ELSE td END END AS v FROM truths")

@@ -15,6 +15,39 @@ from kilnmark.operators import boxes, cascade, vision
 from kilnmark.streaming import budget
 
 
+def test_made_only_by_plain_python(spark, sf):
+    """o_d25 over all texts against the rule by re: the date stands in the text, and each time behind a word of manufacture."""
+    from kilnmark.plans import catalog, fixture
+
+    texts = fixture.table(spark, sf, fixture.TEXTS).collect()
+    got = {r["doc_id"]: r["v"] for r in catalog.queries()["o_d25"](spark, sf).collect()}
+    want = {}
+    for r in texts:
+        c = r["text"].replace("제조일", "제조") if r["doc_id"] % 2 else r["text"]
+        found = [m.start() for y in (r["ty"], r["ty"][2:]) for m in re.finditer(rf"(?<!\d){y}\D{{0,2}}{r['tm']}\D{{0,2}}{r['td']}(?!\d)", c)]
+        want[r["doc_id"]] = bool(found) and all(re.search(B.MADE, c[max(0, a - 12) : a]) for a in found)
+    assert got == want and {True, False} == set(want.values())
+
+
+@pytest.mark.parametrize(("text", "words"), [("제조2020.08.17", ["제조일자"]), ("제조: 2020", ["제조일자"]), ("소비기 한", ["소비기한"]), ("exp 2020", []), ("EXP. 2020", ["EXP"])])
+def test_anchor_words(spark, text, words):
+    assert one(spark, text, T.find_anchors) == words
+
+
+def test_quantiles_and_shares_by_plain_python(spark):
+    from kilnmark.operators import relational as R
+
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=5000), rng.integers(0, 4, 3000).astype(float), np.array([7.0]), np.concatenate((np.zeros(4000), rng.random(50)))):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3)
+        for q in (0.0, 0.3, 0.5, 0.99, 1.0):
+            assert R.exact_quantile(df, "v", q).first()["v"] == pytest.approx(np.quantile(values, q))
+        big = np.sort(np.abs(values))[::-1]
+        need = int(np.argmax(np.cumsum(big) >= 0.9 * big.sum() - 1e-9)) + 1
+        assert abs(R.rows_for_share(df.select(F.abs("v").alias("v")), "v", 0.9).first()["needed"] - need) <= 1
+    assert R.exact_quantile(spark.createDataFrame([], "v double"), "v", 0.5).first()["v"] is None
+
+
 def one(spark, text, column):
     return spark.createDataFrame([(text,)], "t string").select(column(F.col("t")).alias("v")).first()["v"]
 
