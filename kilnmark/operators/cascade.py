@@ -31,6 +31,12 @@ def cascade(rungs: DataFrame, by: list[str], order: str = "rung_ord", pred: str
     return agg.select(*by, F.coalesce("f", "q", F.lit("NONE")).alias("pred"), stage.alias("stage"), F.round(spent, 6).alias("sec"))
 
 
+def offered(rungs: DataFrame, rejected: set[str], asked: tuple[str, ...] = (), rung: str = "rung") -> DataFrame:
+    """The rungs that a cascade climbs: rejected ones stay known but are off unless they are asked for by name."""
+    off = sorted(rejected - set(asked))
+    return rungs.filter(~F.col(rung).isin(off)) if off else rungs
+
+
 def staged(todo: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], key: str, result: str, cut: Callable[[DataFrame, str], DataFrame] = lambda d, n: d) -> DataFrame:
     """Costly stages one after the other, each only on rows that none before resolved (non-null ``result``).
 

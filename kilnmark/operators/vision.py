@@ -172,6 +172,86 @@ def row_bands(ink: np.ndarray, share: float = 0.06, least: float = 0.12) -> list
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=False) if b - a >= least * len(profile)]
 
 
+def printed(g: np.ndarray) -> np.ndarray:
+    """The print as True: what is darker than the threshold, or what is brighter if that would be most of the image."""
+    ink = g <= otsu(g)
+    return ~ink if ink.mean() > 0.5 else ink
+
+
+def components(mask: np.ndarray) -> list[np.ndarray]:
+    """Places (n by 2) of each part that hangs together over sides and corners."""
+    left, found = mask.copy(), []
+    for y, x in zip(*np.nonzero(mask), strict=True):
+        if left[y, x]:
+            todo, part = [(y, x)], []
+            left[y, x] = False
+            while todo:
+                a, b = todo.pop()
+                part.append((a, b))
+                window = left[max(a - 1, 0) : a + 2, max(b - 1, 0) : b + 2]
+                todo += [(max(a - 1, 0) + int(c), max(b - 1, 0) + int(d)) for c, d in zip(*np.nonzero(window), strict=True)]
+                window[:] = False
+            found.append(np.array(part))
+    return found
+
+
+def stroke_width(ink: np.ndarray, least: int = 4) -> float:
+    """Median over the parts of print of the largest distance to what isn't print: the radius of a dot; 1 at least, 2 of none.
+
+    A place outside the image isn't background."""
+    blank = np.argwhere(~ink)
+    radii = []
+    for part in components(ink):
+        if len(part) >= least and len(blank):
+            radii.append(max(float(np.sqrt(((blank - p) ** 2).sum(axis=1).min())) for p in part))
+    return max(1.0, sorted(radii)[len(radii) // 2]) if radii else 2.0
+
+
+def split_wide(band: np.ndarray, x: int, w: int, h: int) -> list[tuple[int, int]]:
+    """(x, width) of the characters in a piece: one too wide for its height is cut at the columns with the least ink
+    near even spacing; slices under three columns go."""
+    count = max(1, round(w / max(0.62 * h, 1)))
+    ink, step, cuts = band[:, x : x + w].sum(axis=0), w / count, [0]
+    for i in range(1, count):
+        at, reach = int(step * i), int(step * 0.3)
+        lo, hi = max(1, at - reach), min(w - 1, at + reach)
+        cuts.append(lo + int(ink[lo:hi].argmin()) if lo < hi else at)
+    spans = [(x + a, b - a) for a, b in zip(cuts, [*cuts[1:], w], strict=True) if b - a >= 3]
+    return spans if count > 1 and spans else [(x, w)]
+
+
+def fit_square(piece: np.ndarray, side: int = 48, margin: int = 4) -> np.ndarray:
+    """A character in the middle of a square canvas, its shape kept; print is 255."""
+    h, w = piece.shape
+    scale = (side - 2 * margin) / max(h, w)
+    nh, nw = max(1, int(h * scale)), max(1, int(w * scale))
+    rows, cols = np.minimum((np.arange(nh) + 0.5) * h / nh, h - 1).astype(int), np.minimum((np.arange(nw) + 0.5) * w / nw, w - 1).astype(int)
+    canvas = np.zeros((side, side), np.uint8)
+    canvas[(side - nh) // 2 :, (side - nw) // 2 :][:nh, :nw] = np.where(piece[rows][:, cols], 255, 0)
+    return canvas
+
+
+def crop_variants(img: np.ndarray) -> list[np.ndarray]:
+    """A gray crop twice as large and sharpened, and with its local contrast raised; none of one under three pixels."""
+    if min(img.shape[:2]) < 3:
+        return []
+    g = gray(img)
+    ys, xs = ((np.arange(2 * n) + 0.5) / 2 - 0.5 for n in g.shape)
+    y, x = np.clip(ys, 0, g.shape[0] - 1), np.clip(xs, 0, g.shape[1] - 1)
+    y0, x0 = np.minimum(y.astype(int), g.shape[0] - 2), np.minimum(x.astype(int), g.shape[1] - 2)
+    fy, fx = (y - y0)[:, None], (x - x0)[None]
+    at = lambda a, b: g[a[:, None], b[None]].astype(float)
+    big = (1 - fy) * ((1 - fx) * at(y0, x0) + fx * at(y0, x0 + 1)) + fy * ((1 - fx) * at(y0 + 1, x0) + fx * at(y0 + 1, x0 + 1))
+    return [unsharp(big, 1.2, 0.7), equalize(g, 3.0, 4)]
+
+
+def reread(img: np.ndarray, read: Callable[[np.ndarray], tuple[str, float]], on: bool = False, least: float = 0.8) -> str | None:
+    """The surest reading of a crop's variants, if one is sure enough; a rung that is off unless asked for."""
+    found = [read(v) for v in crop_variants(img)] if on else []
+    text, sure = max(found, key=lambda r: r[1], default=(None, 0.0))
+    return text if sure >= least else None
+
+
 def dotness(g: np.ndarray, close: int = 7) -> float:
     """Connected parts of the print before over after closing gaps: dot-matrix print falls apart into many."""
     ink = g <= otsu(g)

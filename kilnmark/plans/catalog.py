@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_eval, q_files, q_more, q_relational, q_text, registry  # noqa: F401
+from . import q_eval, q_files, q_images, q_more, q_relational, q_text, registry  # noqa: F401
 
 
 def queries() -> dict:

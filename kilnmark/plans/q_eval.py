@@ -9,6 +9,7 @@ from ..functions import dates as D
 from ..functions import text as T
 from ..operators import cascade as C
 from ..operators import evals as E
+from .q_text import FULL_DATES, PARTIAL_DATES
 from .registry import Tables, query
 
 P = "split_part(pred, '-', {i})"
@@ -356,7 +357,10 @@ def o_d34(t: Tables):
     return t.rungs.groupBy("rung").agg(F.count_if(F.expr("try_to_date(pred) < try_to_date(truth)")).alias("earlier"))
 
 
-@query("flagship_extract_score")
+_FOUND = "SELECT split, ty || '-' || tm || '-' || td AS truth, coalesce(f.dt, p.y || '-' || p.m || '-' || p.d, 'NONE') AS pred FROM truths JOIN full_dates f USING (doc_id) LEFT JOIN part_dates p USING (doc_id)"
+
+
+@query("flagship_extract_score", f"WITH full_dates AS ({FULL_DATES}), part_dates AS ({PARTIAL_DATES}), found AS ({_FOUND}) {score_sql('found', 'split')}")
 def flagship(t: Tables):
     """Extraction of one date a document from its fragments, scored by split."""
     return E.field_score(D.extract(t.fragments).join(t.truths, "doc_id").select("split", F.concat_ws("-", "ty", "tm", "td").alias("truth"), F.col("final_date").alias("pred")), "split")

@@ -211,7 +211,10 @@ _ALL = " UNION ALL ".join(matches_sql(n, "grams") for n in D.PATTERNS)
 _CHOSEN = f"SELECT doc_id, CASE WHEN max(s) >= 0 THEN CAST(max(dt) FILTER (WHERE s = top) AS VARCHAR) END AS dt FROM (SELECT doc_id, {SCORE} AS s, max({SCORE}) OVER (PARTITION BY doc_id) AS top, dt FROM ({_ALL}) a) b GROUP BY doc_id"
 
 
-@query("o_d16", f"WITH grams AS ({GRAMS}) SELECT d.doc_id, c.dt FROM (SELECT DISTINCT doc_id FROM fragments) d LEFT JOIN ({_CHOSEN}) c ON c.doc_id = d.doc_id")
+FULL_DATES = f"WITH grams AS ({GRAMS}) SELECT d.doc_id, c.dt FROM (SELECT DISTINCT doc_id FROM fragments) d LEFT JOIN ({_CHOSEN}) c ON c.doc_id = d.doc_id"
+
+
+@query("o_d16", FULL_DATES)
 def o_d16(t: Tables):
     return D.with_ngrams(t.fragments).select("doc_id", D.choose_date(F.col("grams")).cast("string").alias("dt"))
 
@@ -236,7 +239,10 @@ _PARTS = " UNION ALL ".join((
 ))
 
 
-@query("o_d17", rf"WITH grams AS ({GRAMS}), pb AS (SELECT *, regexp_replace(upper(text), '([0-9]+)', '<\1>', 'g') AS b FROM grams) SELECT doc_id, score, y, m, d FROM ({_PARTS}) a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos, k, o, i) = 1")
+PARTIAL_DATES = rf"WITH grams AS ({GRAMS}), pb AS (SELECT *, regexp_replace(upper(text), '([0-9]+)', '<\1>', 'g') AS b FROM grams) SELECT doc_id, score, y, m, d FROM ({_PARTS}) a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos, k, o, i) = 1"
+
+
+@query("o_d17", PARTIAL_DATES)
 def o_d17(t: Tables):
     p = D.choose_partial(F.col("grams"))
     return D.with_ngrams(t.fragments).select("doc_id", p.alias("p")).filter("p is not null").select("doc_id", "p.score", "p.y", "p.m", "p.d")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 import os
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +23,31 @@ LABELS = strings("image_id", "year", "month", "day", "final_date", "split", "sou
 SUBMISSION = strings("image_id", "year", "month", "day", "final_date")
 
 
+#: Each ending in any case.
+_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in IMAGE_TYPES) + "}"
+
+
+def _name(path: Column | str) -> Column:
+    return F.regexp_extract(path, "([^/]+)$", 1)
+
+
+def _stem(path: Column | str) -> Column:
+    return F.regexp_replace(_name(path), r"\.[^.]+$", "")
+
+
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """path, image_id (file stem, as text), length, content of image files of known types, dot files left out, by path."""
-    glob = "*.{" + ",".join(f"{e},{e.upper()}" for e in IMAGE_TYPES) + "}"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    name = F.regexp_extract("path", "([^/]+)$", 1)
-    return files.filter(~name.startswith(".")).select("path", F.regexp_replace(name, r"\.[^.]+$", "").alias("image_id"), "length", "content").orderBy("path")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", _GLOB).option("recursiveFileLookup", "true").load(folder)
+    return files.filter(~_name("path").startswith(".")).select("path", _stem("path").alias("image_id"), "length", "content").orderBy("path")
+
+
+def decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """path, image_id, height, width, channels, data (rows of pixels, blue first) of the same files, decoded by the JVM;
+    one that can't be read keeps its row, with nulls."""
+    files = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", _GLOB).option("recursiveFileLookup", "true").load(folder)
+    path, good = F.col("image.origin"), F.col("image.height") > 0
+    parts = [F.when(good, F.col(f"image.{c}")).alias(n) for c, n in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "data"))]
+    return files.filter(~_name(path).startswith(".")).select(path.alias("path"), _stem(path).alias("image_id"), *parts)
 
 
 def _without_bom(df: DataFrame) -> DataFrame:
@@ -106,9 +126,9 @@ def gallery(rows: DataFrame, title: str, limit: int = 1000) -> str:
     return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><div id='g'></div><script>const rows={payload};g.innerHTML=rows.map(r=>'<pre></pre>').join('');[...g.children].forEach((e,i)=>e.textContent=JSON.stringify(rows[i],null,1))</script>"
 
 
-def settings(defaults: dict[str, str], prefix: str = "KILNMARK_") -> dict[str, str]:
+def settings(defaults: dict[str, str], prefix: str = "KILNMARK_", environment: Mapping[str, str] = os.environ) -> dict[str, str]:
     """Defaults, overridden by environment variables of the same names in upper case behind the prefix."""
-    return {k: os.environ.get(prefix + k.upper(), v) for k, v in defaults.items()}
+    return {k: environment.get(prefix + k.upper(), v) for k, v in defaults.items()}
 
 
 def file_target(kind: Column, key: Column, truth: Column, pred: Column, ending: str = ".jpg") -> Column:
