@@ -74,6 +74,11 @@ def prepared(c: Column) -> Column:
     return T.repair_digit(F.upper(c))
 
 
+def once(c: Column, f) -> Column:
+    """f of a value that is worked out once: within a lambda the engine shares no common part of an expression."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def gate(name: str, c: Column) -> Column:
     """Whether a pattern is tried on a text at all."""
     if name == "g":
@@ -84,39 +89,59 @@ def gate(name: str, c: Column) -> Column:
 
 
 def extract_prepared(t: Column) -> Column:
-    """All dates of all patterns in prepared text; one without a digit isn't searched."""
+    """All dates of all patterns in prepared text.
+
+    One without a digit isn't searched; patterns of a four-digit year or of a month's name only where there is one."""
     none = F.array().cast("array<date>")
-    every = F.concat(*[matches(t, n) if n not in ("g", "h8", "h9") else F.when(gate(n, t), matches(t, n)).otherwise(none) for n in PATTERNS])
+    open_ = [n for n in PATTERNS if n not in ("g", "h8", "h9")]
+    named = [n for n in open_ if _MON in PATTERNS[n][0]]
+    yearly = [n for n in open_ if "20" in PATTERNS[n][0] and n not in named]
+    rest = [n for n in open_ if n not in named and n not in yearly]
+    year, month = t.rlike(r"(?U)20\d{2}"), t.rlike(_MON)
+    found = lambda names: [matches(t, n) for n in names]
+    compact = F.concat(F.when(year, matches(t, "h8")).otherwise(none), matches(t, "h9"))
+    every = F.concat(
+        F.when(year, F.concat(*found(yearly))).otherwise(none),
+        F.when(month, F.concat(*found(named))).otherwise(none),
+        *found(rest),
+        F.when(gate("g", t), matches(t, "g")).otherwise(none),
+        F.when(t.rlike(r"(?U)\d{6}"), F.when(gate("h8", t), compact).otherwise(none)).otherwise(none),
+    )
     return F.when(t.rlike("[0-9]"), every).otherwise(none)
 
 
 def extract_dates(c: Column) -> Column:
     """All dates of all patterns in a text; a null has none."""
-    return F.get(F.transform(F.array(prepared(F.coalesce(c, F.lit("")))), extract_prepared), 0)
+    return once(prepared(F.coalesce(c, F.lit(""))), extract_prepared)
 
 
 def with_ngrams(fragments: DataFrame, key: str = "doc_id") -> DataFrame:
     """Candidate texts of each document: every non-blank fragment, and it with the next one and the next two.
 
-    One shuffle on the key; a document's fragments are its own, not the corpus's, so the array is small."""
-    lists = fragments.filter("trim(text) <> ''").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: F.trim(x["text"])).alias("t"))
+    One shuffle on the key; a document's fragments are its own, not the corpus's, so the array is small. The shuffle
+    keeps its full number of partitions, as the patterns that follow cost far more than their few bytes suggest."""
+    wide = int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fragments.select(key, "pos", "text").filter("trim(text) <> ''").repartition(wide, key)
+    lists = dealt.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: F.trim(x["text"])).alias("t"))
     grams = F.transform(F.col("t"), lambda x, i: F.array_compact(F.array(x, F.when(i + 1 < F.size("t"), F.concat(x, F.lit(" "), F.get("t", i + 1))), F.when(i + 2 < F.size("t"), F.concat(x, F.lit(" "), F.get("t", i + 1), F.lit(" "), F.get("t", i + 2))))))
     return lists.select(key, F.flatten(grams).alias("grams"))
 
 
 def choose_date(grams: Column) -> Column:
     """The latest date of the best-scored candidate text; null if none or its score is negative."""
-    # prepared and scored once a candidate text, not once a pattern or date
-    ready = F.transform(grams, lambda g: F.struct(prepared(F.coalesce(g, F.lit(""))).alias("t"), T.keyword_score(g).alias("score")))
-    every = F.flatten(F.transform(ready, lambda r: F.transform(extract_prepared(r["t"]), lambda d: F.struct(r["score"].alias("score"), d.alias("dt")))))
-    best = F.array_max(every)
-    return F.when(best["score"] >= 0, best["dt"])
+    # of one text the latest date is enough, for all of them have its score; texts without any aren't scored
+    dated = F.transform(grams, lambda g: F.struct(g.alias("g"), F.array_max(extract_dates(g)).alias("dt")))
+    scored = F.transform(F.filter(dated, lambda r: r["dt"].isNotNull()), lambda r: F.struct(once(F.upper(r["g"]), lambda up: T.keyword_score(r["g"], up)).alias("score"), r["dt"].alias("dt")))
+    return once(F.array_max(scored), lambda best: F.when(best["score"] >= 0, best["dt"]))
 
 
 def partials(g: Column) -> Column:
     """Scored partial dates of one candidate text, in the order in which they are tried."""
-    up = F.upper(g)
-    positive, negative = T.any_of(up, PARTIAL_FOR), T.any_of(up, T.AGAINST)
+    kinds = lambda up: F.struct(up.alias("up"), T.any_of(up, PARTIAL_FOR).alias("positive"), T.any_of(up, T.AGAINST).alias("negative"))
+    return once(F.upper(g), lambda up: once(kinds(up), lambda k: _partials(g, k["up"], k["positive"], k["negative"])))
+
+
+def _partials(g: Column, up: Column, positive: Column, negative: Column) -> Column:
     score = F.when(positive, 10).otherwise(0) + F.when(F.contains(g, F.lit("까지")), 5).otherwise(0)
     pair = lambda n: F.arrays_zip(F.regexp_extract_all(up, F.lit("(?U)" + PARTIAL[n]), F.lit(1)).alias("0"), F.regexp_extract_all(up, F.lit("(?U)" + PARTIAL[n]), F.lit(2)).alias("1"))
     two = lambda x: F.lpad(x, 2, "0")
@@ -135,7 +160,7 @@ def partials(g: Column) -> Column:
     ok_md = lambda x: make_date(F.lit(2024), x["0"].cast("int"), x["1"].cast("int")).isNotNull()
     md = lambda n: F.transform(F.filter(pair(n), ok_md), lambda x: row(score, none, two(x["0"]), two(x["1"])))
     every = F.concat(my("my"), F.when(positive, my("my2", 2)).otherwise(empty), my("m_y"), F.when(positive, md("md")).otherwise(md("md2")))
-    return F.when(negative, empty).otherwise(every)
+    return F.when(negative | ~up.rlike(r"(?U)\d"), empty).otherwise(every)
 
 
 def choose_partial(grams: Column) -> Column:

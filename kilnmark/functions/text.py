@@ -61,8 +61,9 @@ def polarity(anchors: Column) -> Column:
     return F.struct(pos.alias("has_pos"), neg.alias("has_neg"), F.array_contains(anchors, "까지").alias("soft"), F.array_contains(anchors, "별도표기").alias("trap"))
 
 
-def keyword_score(c: Column) -> Column:
-    up = F.upper(c)
+def keyword_score(c: Column, up: Column | None = None) -> Column:
+    """Words for a date of expiry less words against it; ``up`` is the text in upper case, where that is known."""
+    up = F.upper(c) if up is None else up
     return (10 * count_of(up, STRONG) + 4 * count_of(up, WEAK) - 12 * count_of(up, AGAINST) + F.when(F.contains(c, F.lit("까지")), 15).otherwise(0) - F.when(F.contains(c, F.lit("부터")), 8).otherwise(0)).cast("int")
 
 
