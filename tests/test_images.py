@@ -2,8 +2,10 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
+from compare import same
 
 from kilnmark.operators import vision
 from kilnmark.plans import catalog, q_images
@@ -125,3 +127,17 @@ def test_variants(spark, sf):
     sure = lambda v: ("2024", 0.9 if v.shape[0] > 6 else 0.5)
     assert vision.reread(flat, sure) is None and vision.reread(flat, sure, on=True) == "2024" and vision.reread(flat, sure, on=True, least=0.95) is None
     assert vision.crop_variants(flat[:2]) == []
+
+
+def test_borders_at_the_limit(spark, tmp_path):
+    """Rows and columns whose deviation is 30 itself, where the order of adding decides."""
+    rng = np.random.default_rng(30)
+    lines = rng.integers(60, 160, (800_000, 8))
+    lines = lines[8 * (lines**2).sum(1) - lines.sum(1) ** 2 == 8 * 8 * 900]
+    assert len(lines) > 50
+    flat = [np.vstack([np.full((2, 8), 7), x[None], rng.integers(0, 256, (5, 8))]) for x in lines]
+    vectors = [((g.ravel() + 0.5) / 255 - 0.5).tolist() for g in flat + [g.T for g in flat]]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    same(catalog.queries()["o_g5"](spark, str(tmp_path)), db, catalog.oracle_sql()["o_g5"])
