@@ -123,6 +123,44 @@ def test_merge_lines(spark):
     assert [r["line"] for r in boxes.merge_lines(df).collect()] == ["20221104"]
 
 
+def plain_lines(items, tolerance=0.6, gap=2.0):
+    """Each box not yet in a row seeds one and takes all that fit, in order from the top."""
+    items = sorted((b for b in items if b[1] >= 1), key=lambda b: (b[0], b[2], b[4], b[1], b[3]))
+    used, out = set(), []
+    for i, a in enumerate(items):
+        if i in used:
+            continue
+        row = [j for j in range(i, len(items)) if j not in used and (j == i or abs(items[j][0] - a[0]) <= tolerance * max(a[1], items[j][1]) and 0.5 <= items[j][1] / a[1] <= 2)]
+        used |= set(row)
+        cells = sorted((items[j] for j in row), key=lambda b: b[2])
+        cuts = [0, *[n for n in range(1, len(cells)) if cells[n][2] - cells[n - 1][3] > gap * max(cells[n - 1][1], cells[n][1])], len(cells)]
+        out += ["".join(b[4] for b in cells[m:n]) for m, n in zip(cuts[:-1], cuts[1:], strict=True) if n - m > 1]
+    return out
+
+
+def test_merge_lines_by_plain_python(spark):
+    """Images of few and of many boxes, some longer than an Arrow batch, without a Python call for each."""
+    rng = np.random.default_rng(6)
+    images = {k: [(float(rng.integers(0, 3 * n)), float(rng.choice([0, 1, 4, 7, 10, 16, 40])), x := float(rng.integers(0, 300)), x + float(rng.integers(1, 30)), str(i)) for i in range(n)] for k, n in enumerate([1, 2, 3, 5, 9, 20, 60, 300] * 5)}
+    df = spark.createDataFrame([(k, *b) for k, bs in images.items() for b in bs], "doc_id long, cy double, h double, x0 double, x1 double, text string").repartition(5)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, 37)
+    try:
+        merged = boxes.merge_lines(df)
+        got = sorted(map(tuple, merged.collect()))
+    finally:
+        spark.conf.unset(size)
+    assert got == sorted((k, line) for k, bs in images.items() for line in plain_lines(bs)) and len(got) > 150
+    assert "InPandas" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_lines_of_odd_boxes(spark):
+    nan = float("nan")
+    rows = [(1, "a", 1.0, 10.0, 0.0, 5.0), (1, None, 1.0, 10.0, 6.0, 8.0), (1, "b", 1.0, 10.0, 9.0, 12.0), (1, "x", nan, 10.0, 9.0, 12.0), (1, "y", 1.0, None, 9.0, 12.0), (None, "c", 1.0, 9.0, 0.0, 5.0), (None, "d", 2.0, 9.0, 6.0, 8.0)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, cy double, h double, x0 double, x1 double")
+    assert {tuple(r) for r in boxes.merge_lines(df).collect()} == {(1, "ab"), (None, "cd")}
+
+
 def test_budget_batch_equals_stream(spark, tmp_path):
     rows = [(r, i, 0.5 + (i * 7 % 11) / (2 if i > 60 else 20)) for r in ("a", "b") for i in range(120)]
     df = spark.createDataFrame(rows, "run string, i int, sec double")
