@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .spans import once
 
 FIRST_YEAR, LAST_YEAR = 2015, 2035
 _MON = "(" + "|".join(T.MONTHS) + ")"
@@ -74,11 +75,6 @@ def prepared(c: Column) -> Column:
     return T.repair_digit(F.upper(c))
 
 
-def once(c: Column, f) -> Column:
-    """f of a value that is worked out once: within a lambda the engine shares no common part of an expression."""
-    return F.get(F.transform(F.array(c), f), 0)
-
-
 def gate(name: str, c: Column) -> Column:
     """Whether a pattern is tried on a text at all."""
     if name == "g":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .dates import make_date
-from .spans import find_spans, first_claims, inside
+from .spans import find_spans, first_claims, inside, once
 
 # The shapes in order of precedence; Y is a year of 1900 to 2049.
 _S, _Y, _M, _D = r"[^\d\n]{0,2}", r"(19\d{2}|20[0-4]\d)", r"(1[0-2]|0[1-9])", r"(3[01]|[12]\d|0[1-9])"
@@ -23,9 +23,11 @@ PATTERNS = (
 TAIL = (("Y4_tail", rf"(?<!\d)(20[0-4]\d){_S}{_M}{_S}{_D}"), ("Y2_tail", rf"(?<!\d)([0-4]\d){_S}{_M}{_S}{_D}"))
 MONTH_DAY = rf"(?<!\d){_M}\s*[.\-/]\s*{_D}(?![\d.\-/:])"
 YEAR_MONTH = (rf"(?<!\d){_M}\s*[.\-/]\s*{_Y}(?!\d)", rf"(?<!\d){_Y}\s*[.\-/년]\s*{_M}(?![\d.\-/])")
-MADE = r"(?i)(제\s*조|생\s*산|포\s*장|mfg|mfd|prod|born)[^\d]{0,6}$"
+_MADE_WORDS = r"(?i)(제\s*조|생\s*산|포\s*장|mfg|mfd|prod|born)"
+MADE = rf"{_MADE_WORDS}[^\d]{{0,6}}$"
 TIME_AFTER = r"^\s*\d{1,2}\s*[:,;*]\s*\d{2}(?!\d)"
 _KIND = "array<struct<s:int,e:int,kind:string,dt:date>>"
+_PARTS = "struct<y:string,m:string,d:string>"
 
 
 def century_date(y: Column, m: Column, d: Column) -> Column:
@@ -78,15 +80,18 @@ def find_dates(c: Column, barcode: bool = False, drop_times: bool = False, patte
     """Array of (s, e, kind, dt): matches in order of pattern and place, without those that overlap an earlier one, are no date,
     or lie within nine digits or more. Options: the order of two-digit dates by barcode, dates that a clock time follows dropped."""
     latin, country = T.latin_dominant(c), T.barcode_order(c) if barcode else None
-    long = find_spans(c, r"\d{9,}")
-    every = []
-    for kind, p in patterns:
-        rows = _rows(c, kind, p, latin, country)
-        rows = F.filter(rows, lambda x: x["dt"].isNotNull() & ~inside(x, long))
-        if drop_times and kind == "Y2_sep":
-            rows = F.filter(rows, lambda x: ~F.substring(c, x["e"] + 1, F.lit(12)).rlike(TIME_AFTER))
-        every.append(rows)
-    return first_claims(F.concat(*every), _KIND)
+
+    def found(long):
+        every = []
+        for kind, p in patterns:
+            rows = _rows(c, kind, p, latin, country)
+            rows = F.filter(rows, lambda x: x["dt"].isNotNull() & ~inside(x, long))
+            if drop_times and kind == "Y2_sep":
+                rows = F.filter(rows, lambda x: ~F.substring(c, x["e"] + 1, F.lit(12)).rlike(TIME_AFTER))
+            every.append(rows)
+        return first_claims(F.concat(*every), _KIND)
+
+    return once(find_spans(c, r"\d{9,}"), found)
 
 
 def find_dates_with_tail(c: Column) -> Column:
@@ -120,7 +125,8 @@ def made_only(c: Column, dt: Column) -> Column:
         seen = F.slice(before, 1, F.size(before) - 1)
         out = out | (F.size(before) > 1)
         fine = fine & F.forall(seen, lambda x: F.substring(x, -12, 12).rlike(MADE))
-    return F.when(dt.isNull(), False).otherwise(out & fine)
+    # most texts have no such word at all
+    return F.when(dt.isNull() | ~c.rlike(_MADE_WORDS), False).otherwise(out & fine)
 
 
 def needs_more(n: Column, anchors: Column) -> Column:
@@ -132,15 +138,31 @@ def needs_more(n: Column, anchors: Column) -> Column:
 def select_date(c: Column) -> Column:
     """(y, m, d) chosen for a text: the best-scored full date, the latest of those; else the latest year and month, else month and day."""
     found = F.filter(find_dates(c), lambda x: x["kind"].startswith("Y4") | F.year(x["dt"]).between(2015, 2035))
-    days = F.array_distinct(F.transform(found, lambda x: x["dt"]))
+    # partial dates are only searched for where there is no full one
+    return once(found, lambda found: once(F.array_distinct(F.transform(found, lambda x: x["dt"])), lambda days: F.when(_made(c, days), F.lit(None).cast(_PARTS)).otherwise(once(_best(found, days), lambda best: F.when(best.isNotNull(), _whole(best)).otherwise(_part(c))))))
+
+
+def _made(c: Column, days: Column) -> Column:
+    """Whether the only date is one of manufacture, and the label doesn't say that the other one is elsewhere."""
+    trap = once(T.norm(c), lambda n: T.any_of(n, T.ANCHORS["별도표기"]))
+    return (F.size(days) == 1) & made_only(c, F.get(days, 0)) & ~trap
+
+
+def _best(found: Column, days: Column) -> Column:
     kind_of = lambda d: F.get(F.filter(found, lambda x: x["dt"] == d), 0)["kind"]  # noqa: E731  the first that gave it
     score = lambda d: F.when(kind_of(d).startswith("Y4"), 3).otherwise(0) + F.when(F.year(d).between(2015, 2035), 2).otherwise(-5)
-    best = F.array_max(F.transform(days, lambda d: F.struct(score(d).alias("score"), d.alias("dt"))))["dt"]
-    only = (F.size(days) == 1) & ~F.array_contains(T.find_anchors(c), "별도표기") & made_only(c, F.get(days, 0))
-    ym, md = F.array_max(find_year_month(c)), F.array_max(find_month_day(c))
-    whole = F.struct(F.date_format(best, "yyyy").alias("y"), F.date_format(best, "MM").alias("m"), F.date_format(best, "dd").alias("d"))
+    return F.array_max(F.transform(days, lambda d: F.struct(score(d).alias("score"), d.alias("dt"))))["dt"]
+
+
+def _whole(best: Column) -> Column:
+    return F.struct(F.date_format(best, "yyyy").alias("y"), F.date_format(best, "MM").alias("m"), F.date_format(best, "dd").alias("d"))
+
+
+def _part(c: Column) -> Column:
     nul = F.lit(None).cast("string")
-    return F.when(only, F.lit(None).cast("struct<y:string,m:string,d:string>")).when(best.isNotNull(), whole).when(ym.isNotNull(), F.struct(F.substring(ym, 1, 4).alias("y"), F.substring(ym, 6, 2).alias("m"), nul.alias("d"))).when(md.isNotNull(), F.struct(nul.alias("y"), F.substring(md, 1, 2).alias("m"), F.substring(md, 4, 2).alias("d")))
+    month_day = lambda md: F.when(md.isNotNull(), F.struct(nul.alias("y"), F.substring(md, 1, 2).alias("m"), F.substring(md, 4, 2).alias("d")))
+    year_month = lambda ym: F.when(ym.isNotNull(), F.struct(F.substring(ym, 1, 4).alias("y"), F.substring(ym, 6, 2).alias("m"), nul.alias("d"))).otherwise(once(F.array_max(find_month_day(c)), month_day))
+    return once(F.array_max(find_year_month(c)), year_month)
 
 
 def interpretations(c: Column) -> Column:

@@ -77,6 +77,33 @@ def test_fallback_rules(spark, text, parts):
     assert (tuple(got) if got else None) == parts
 
 
+def test_fallback_dates_of_the_fixture(spark, sf):
+    """o_d27 by rendering; each step of the choice is planned once, and the texts of one file are dealt out."""
+    from kilnmark.plans import catalog, fixture
+
+    df = catalog.queries()["o_d27"](spark, sf)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(") <= 1
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {r["doc_id"]: (r["y"], r["m"], r["d"]) for r in df.collect()}
+    texts = fixture.table(spark, sf, fixture.TEXTS).collect()
+    assert len(got) == len(texts)
+    for r in texts:
+        y, m, d = r["ty"], r["tm"], r["td"]
+        want = {**dict.fromkeys((0, 3, 6, 8, 12, 22), (y, m, d)), 17: (None, m, d), 18: (None,) * 3, 21: (None,) * 3}
+        if r["variant"] in want and (r["variant"] != 3 or int(d) > 12):
+            assert got[r["doc_id"]] == want[r["variant"]], r["text"]
+
+
+@pytest.mark.parametrize("text", [None, "", "1" * 40, "2026.08.19 " * 60, "제조2020.08.17 " * 3, "제조2020.08.17 / 2020.08.17", "제조2020.08.17 별도표기"])
+def test_fallback_rules_of_odd_texts(spark, text):
+    found = [m.groups() for m in re.finditer(B.PATTERNS[0][1], text or "")]
+    made = found and "별도표기" not in text and "/" not in text and "제조" in text
+    got = one(spark, text, B.select_date)
+    assert (tuple(got) if got else None) == (found[0] if found and not made else None)
+    spans = one(spark, text, lambda c: F.array_sort(B.find_dates(c)))
+    assert (None if spans is None else [(x["s"], x["e"]) for x in spans]) == (None if text is None else [m.span() for m in re.finditer(B.PATTERNS[0][1], text)])
+
+
 @pytest.mark.parametrize("name", [*D.PATTERNS])
 def test_patterns_find_what_python_finds(spark, name):
     rng = np.random.default_rng(len(name))
